@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import packing, token_counts, trie_bpe
+from weftline.llm import fingerprints, packing, secrets, token_counts, trie_bpe, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,10 +14,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_counts": lambda spark, d: token_counts.count_tokens(_read(spark, d, "documents")),
+        "op3_url_filters": lambda spark, d: url_filter.filter_urls(_read(spark, d, "pages")),
+        "op4_secret_scans": lambda spark, d: secrets.digest(_read(spark, d, "documents")),
         "op5_bpe_trie": lambda spark, d: trie_bpe.encode_digest(_read(spark, d, "documents")),
         "op8_best_fit_packing": lambda spark, d: packing.pack(_read(spark, d, "documents")),
+        "op10_document_fingerprints": lambda spark, d: fingerprints.fingerprint_edits(_read(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filters": url_filter.ORACLE}
