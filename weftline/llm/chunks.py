@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,6 +32,8 @@ def tokenizer_path(path: str | None) -> str:
 
 def runs_of(chunk: bytes) -> list[str] | None:
     """The pre-tokens of a plain chunk, lowered; None for any other chunk."""
+    if chunk.isalpha() and chunk.islower():  # of bytes: ASCII letters
+        return [chunk.decode()]
     text = chunk.decode()
     return RUNS.findall(text.lower()) if PLAIN.fullmatch(text) else None
 
@@ -50,26 +52,39 @@ class LibraryEncoder:
 
     def runs(self, runs: list[str]) -> list[np.ndarray]:
         """Ids of each run. Runs are encoded a thousand at a time, and taken apart at word ends."""
+        return [x for ids, stops in self._many(runs) for x in np.split(ids, stops[:-1])]
+
+    def run_bytes(self, runs: list[str]) -> list[bytes]:
+        """As `runs`, in little-endian bytes of four for each id."""
+        out: list[bytes] = []
+        for ids, stops in self._many(runs):
+            raw, ends = ids.tobytes(), (4 * stops).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def run_counts(self, runs: list[str]) -> list[int]:
+        return [n for _, stops in self._many(runs) for n in np.diff(stops, prepend=0).tolist()]
+
+    def _many(self, runs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         groups = [runs[i : i + 1000] for i in range(0, len(runs), 1000)]
-        out: list[np.ndarray] = []
         for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(group) and (not len(ids) or stops[-1] == len(ids)):
-                out += np.split(ids, stops[:-1])
-            else:
-                out += self.chunks([r.encode() for r in group])
-        return out
+            if len(stops) != len(group) or len(ids) and stops[-1] != len(ids):  # not one word end for each
+                each = self.chunks([r.encode() for r in group])
+                ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+            yield ids, stops
 
     def chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
 
 
 class ChunkMemo(dict):
-    """chunk -> value. `make` turns ids into a value, `join` values of runs into that of their chunk."""
+    """chunk -> value. `of_runs` gives the values of runs, `make` turns ids into a value, `join` values of
+    runs into that of their chunk. At most about `limit` chunks and as many runs stay."""
 
-    def __init__(self, encoder, make: Callable, join: Callable[[Iterable], object], limit: int = 400_000) -> None:
-        self.encoder, self.make, self.join, self.limit = encoder, make, join, limit
+    def __init__(self, encoder, of_runs: Callable[[list[str]], list], make: Callable, join: Callable[[Iterable], object], limit: int = 400_000) -> None:
+        self.encoder, self.of_runs, self.make, self.join, self.limit = encoder, of_runs, make, join, limit
         self.of_run: dict[str, object] = {}
 
     def learn(self, words: list[list[bytes]]) -> None:
@@ -80,8 +95,8 @@ class ChunkMemo(dict):
             self.of_run.clear()
         fresh = set(chain.from_iterable(words)).difference(self)
         apart = {c: runs_of(c) for c in fresh}
-        new = sorted({r for rs in apart.values() if rs for r in rs}.difference(self.of_run))
-        self.of_run.update(zip(new, map(self.make, self.encoder.runs(new))))
+        new = list({r for rs in apart.values() if rs for r in rs}.difference(self.of_run))
+        self.of_run.update(zip(new, self.of_runs(new)))
         get = self.of_run.__getitem__
         self.update((c, get(rs[0]) if len(rs) == 1 else self.join(map(get, rs))) for c, rs in apart.items() if rs)
         odd = [c for c, rs in apart.items() if not rs]

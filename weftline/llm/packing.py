@@ -104,13 +104,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def _bytes_of_ids(path: str | None) -> chunks.ChunkMemo:
-    return chunks.ChunkMemo(chunks.LibraryEncoder(path), lambda ids: ids.tobytes(), b"".join, 500_000)
+    encoder = chunks.LibraryEncoder(path)
+    return chunks.ChunkMemo(encoder, encoder.run_bytes, lambda ids: ids.tobytes(), b"".join, 800_000)
 
 
 def cut(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) for each piece: ids and the end id, cut at `capacity`.
 
-
+    A null or empty text is its end id alone.
     """
     end = int(end_id).to_bytes(4, "little")
 

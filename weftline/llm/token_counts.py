@@ -20,7 +20,8 @@ from weftline.llm.common import pieces
 
 
 def _counter(path: str | None) -> chunks.ChunkMemo:
-    return chunks.ChunkMemo(chunks.LibraryEncoder(path), len, sum, 800_000)
+    encoder = chunks.LibraryEncoder(path)
+    return chunks.ChunkMemo(encoder, encoder.run_counts, len, sum, 800_000)
 
 
 def count_tokens(docs: DataFrame, limit: int = 2048, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

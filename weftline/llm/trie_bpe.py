@@ -171,7 +171,7 @@ def _build(path: str | None) -> chunks.ChunkMemo:
         n, ids, texts = zip(*parts)
         return sum(n), " ".join(ids), " ".join(texts)
 
-    return chunks.ChunkMemo(enc, make, join, 250_000)
+    return chunks.ChunkMemo(enc, lambda runs: list(map(make, enc.runs(runs))), make, join, 300_000)
 
 
 def encode_digest(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
