@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fingerprints, ngram_join, packing, secrets, token_counts, trie_bpe, url_filter
+from weftline.llm import fingerprints, language_model, ngram_join, packing, quality, secrets, token_counts, trie_bpe, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op3_url_filters": lambda spark, d: url_filter.filter_urls(_read(spark, d, "pages")),
         "op4_secret_scans": lambda spark, d: secrets.digest(_read(spark, d, "documents")),
         "op5_bpe_trie": lambda spark, d: trie_bpe.encode_digest(_read(spark, d, "documents")),
+        "op6_quality_classifier": lambda spark, d: quality.classify(_read(spark, d, "documents"), _read(spark, d, "labels")),
         "op7_ngram_jaccard_join": lambda spark, d: ngram_join.similar(_read(spark, d, "documents")),
         "op8_best_fit_packing": lambda spark, d: packing.pack(_read(spark, d, "documents")),
+        "op9_lm_scoring": lambda spark, d: language_model.score(_read(spark, d, "documents")),
         "op10_document_fingerprints": lambda spark, d: fingerprints.fingerprint_edits(_read(spark, d, "documents")),
     }
 
