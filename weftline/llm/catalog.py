@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fingerprints, language_model, ngram_join, packing, quality, secrets, token_counts, trie_bpe, url_filter
+from weftline.llm import fingerprints, language_model, near_vectors, ngram_join, packing, quality, secrets, token_counts, trie_bpe, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,6 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_counts": lambda spark, d: token_counts.count_tokens(_read(spark, d, "documents")),
+        "op2_embedding_near_dedup": lambda spark, d: near_vectors.near(_read(spark, d, "embeddings")),
         "op3_url_filters": lambda spark, d: url_filter.filter_urls(_read(spark, d, "pages")),
         "op4_secret_scans": lambda spark, d: secrets.digest(_read(spark, d, "documents")),
         "op5_bpe_trie": lambda spark, d: trie_bpe.encode_digest(_read(spark, d, "documents")),
