@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.plans import text_queries
+from weftline.plans import text_queries, workload_queries
 
 
 def queries() -> dict:
-    return dict(text_queries.QUERIES)
+    return text_queries.QUERIES | workload_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(text_queries.ORACLES)
+    return text_queries.ORACLES | workload_queries.ORACLES
