@@ -88,3 +88,17 @@ def test_trie_links_find_all():
         if k:
             got = {(i, int(b)) for i, found in ngram_join.trie_links(arrays[:k], arrays[k:], t) for b in found}
             assert got == {(i, j) for i in range(k) for j in range(len(sets) - k) if linked(sets[i], sets[k + j])}
+
+
+def test_linked_sets_share_a_signature():
+    rng = np.random.default_rng(5)
+    for n in [1, 2, 5, 9, 10, 11, 19, 40, 100, 333, 1000]:
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            b = a.copy()
+            drop = rng.integers(0, max(1, n // 10) + 1)
+            b = np.delete(b, rng.choice(len(b), min(drop, len(b) - 1), replace=False))
+            b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, rng.integers(0, max(1, n // 12) + 1)).astype(np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared >= 90 * (len(a) + len(b) - shared):
+                assert set(ngram_join.signatures(a, 90).tolist()) & set(ngram_join.signatures(b, 90).tolist())

@@ -1,14 +1,14 @@
 """Jaccard join of documents by word n-grams, over prefix trees.
 
-1. One scan turns texts into sets of 64-bit shingle hashes, gives every document the 128-bit digest of its
-   set (equal sets are one class from here on), and counts shingles in a sketch of fixed size.
-2. The sketch orders shingles: frequent cells last, hashes within. A set of n shingles that is to share
-   t of them has one of its first n - ceil(t n) + 1 in common with any partner, whatever the order; the
-   order only keeps passages that many documents share out of those prefixes. Classes that meet in a
-   prefix shingle, and whose sizes allow it, are chained (neighbours by size, so a hot shingle costs
-   its occurrences, not their pairs); connected chains are clusters, and all links lie inside clusters.
-3. Only the clusters' sets travel. Within a cluster (or a pair of its blocks) the sets stand in a trie,
-   frequent shingles first; one vector of overlaps with all probes goes down each shared path once, and
+1. Texts become sets of 64-bit shingle hashes; every document has the 128-bit digest of its set, and equal
+   sets are one class from here on.
+2. Two sets that are to link differ in few shingles. If hashes are cut into one part more than that number,
+   the sets agree on some part as a whole; so classes are brought together by the signatures of
+   their parts, and no link is lost. Passages that many documents share fill no part by themselves. Classes
+   of one signature are chained (a signature costs its occurrences, not their pairs); connected chains are
+   clusters, and all links lie inside clusters.
+3. Only the clusters' sets travel. Within a cluster (or a pair of its blocks) the globally ordered sets stand in a
+   trie, frequent shingles first; one vector of overlaps with all probes goes down each shared path once, and
    a subtree is left when no probe can reach the bound with the shingles that remain.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,14 @@ from pyspark.sql import functions as F
 from weftline.llm.common import pieces, written
 from weftline.llm.components import components
 
-CELLS, SLOTS = 1 << 20, 64
 MARKS = 1 << 27
-BLOCK_SETS, BLOCK_SHINGLES = 2000, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_000_000
 _HASHES: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; a worker remembers up to a million of them."""
-    if len(_HASHES) > 1_000_000:
+    """64-bit hashes of words; a worker remembers some hundred thousand of them."""
+    if len(_HASHES) > 300_000:
         _HASHES.clear()
     for w in set(words).difference(_HASHES):
         _HASHES[w] = xxhash.xxh3_64_intdigest(w)
@@ -73,17 +73,40 @@ def digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def order_of(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """`s` in the global order: by the sketch's count where that stands out, then by hash."""
-    seen = sketch[(s >> np.uint64(44)).astype(np.int64)]
-    usual = 2 * int(sketch.sum() // CELLS) + 64
-    seen = np.where(seen > usual, seen, 0)
-    return s[np.lexsort((s, seen))]
+def intervals(t: int, most: int = 1 << 40) -> list[tuple[int, int]]:
+    """Sizes 1..most in intervals (low, high), each a quarter wider than the one before."""
+    out, low = [], 1
+    while low <= most:
+        high = max(low, low * 5 // 4)
+        out.append((low, high))
+        low = high + 1
+    return out
 
 
-def least_shared(n: int, t: int) -> int:
-    """ceil(t percent of n)."""
-    return -(-t * n // 100)
+@lru_cache(4)
+def _plan(t: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Lows and highs of the intervals, and how many parts each takes: one more than two sets of these sizes
+    may differ by, which is (100 - t) / (100 + t) of their sizes' sum."""
+    both = intervals(t)
+    return np.array([a for a, _ in both]), np.array([b for _, b in both]), [2 * b * (100 - t) // (100 + t) + 1 for _, b in both]
+
+
+@lru_cache(256)
+def _cuts(parts: int) -> np.ndarray:
+    return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+
+
+def signatures(s: np.ndarray, t: int) -> np.ndarray:
+    """A hash for each part of the set: for the interval of its size, and for the next one if a partner may lie there."""
+    low, high, parts = _plan(t)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(s))])
+    at = int(np.searchsorted(high, len(s)))
+    out = []
+    for b in (at, at + 1) if 100 * len(s) >= t * int(low[at + 1]) else (at,):
+        bounds = np.concatenate([[0], np.searchsorted(s, _cuts(parts[b])), [len(s)]])
+        inside = sums[bounds[1:]] - sums[bounds[:-1]]
+        out.append(_mix(_mix(inside + np.uint64((b + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) + np.arange(parts[b], dtype=np.uint64)))
+    return np.concatenate(out)
 
 
 def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None, t: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -96,7 +119,7 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None, t: int)
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((tokens, -np.bincount(place, minlength=len(tokens))))] = np.arange(len(tokens))  # frequent first
     ranked = rank[place]
-    paths = [np.sort(x) for x in np.split(ranked[: cut[-1]], cut[:-1])]
+    paths = [np.sort(x).astype(np.int32) for x in np.split(ranked[: cut[-1]], cut[:-1])]
     sizes = np.array([len(p) for p in probes], np.int64)
     held = ranked if own else ranked[cut[-1] :]
     who = np.repeat(np.arange(len(probes)), sizes)
@@ -113,7 +136,7 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None, t: int)
         most = np.minimum(vector + (high - depth), np.minimum(sizes, high))
         return (100 + t) * most >= t * (low + sizes)
 
-    order = sorted(range(len(paths)), key=lambda i: paths[i].tolist())
+    order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
 
     def common(a: np.ndarray, b: np.ndarray, at: int) -> int:
         m = min(len(a), len(b))
@@ -147,65 +170,41 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None, t: int)
 
 
 def _digests(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, n_shingles, sid) and of sketches (slot, cells) from one scan."""
+    """(doc_id, n_shingles, sid) for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(CELLS, np.int64)
         for batch in batches:
-            size, sid, cells = [], [], []
+            size, sid = [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 size.append(len(s))
                 sid.append(digest(s) if len(s) else None)
-                cells.append((s >> np.uint64(44)).astype(np.int64))
-                if len(cells) > 2000:
-                    sketch += np.bincount(np.concatenate(cells), minlength=CELLS)
-                    cells = []
-            if cells:
-                sketch += np.bincount(np.concatenate(cells), minlength=CELLS)
-            k = len(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sid, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        if sketch.any():
-            parts = [p.astype("<u4").tobytes() for p in np.split(sketch, SLOTS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLOTS, arrow), pa.nulls(SLOTS, pa.int64()), pa.nulls(SLOTS, pa.binary()), pa.array(range(SLOTS), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sid, pa.binary())], ["doc_id", "n_shingles", "sid"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sid binary")
 
-    names = ["doc_id", "n_shingles", "sid", "slot", "cells"]
-    kind = docs.schema["doc_id"].dataType
-    arrow = to_arrow_type(kind)
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles long, sid binary, slot int, cells binary")
 
+def short(d: bytes) -> int:
+    """Eight bytes of a digest: enough to name a class while clusters are made, where a clash only merges two."""
+    return int.from_bytes(d[:8], "big", signed=True)
 
-def _sketch(table: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches: CELLS numbers, whatever the input."""
 
-    def total(t: pa.Table) -> pa.Table:
-        cells = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in t.column("cells").to_pylist())
-        return pa.table({"slot": t.column("slot").slice(0, 1), "cells": pa.array([cells.tobytes()], pa.binary())})
+def _signatures(docs: DataFrame, n: int, t: int) -> DataFrame:
+    """(signature, id): each class's once for each task that has it."""
 
-    rows = table.where("slot is not null").groupBy("slot").applyInArrow(total, "slot int, cells binary").collect()
-    out = np.zeros((SLOTS, CELLS // SLOTS), np.int64)
-    for r in rows:
-        out[r.slot] = np.frombuffer(r.cells, np.int64)
-    return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
-
-
-def _prefixes(docs: DataFrame, n: int, t: int, sketch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            heads, sid, size, per = [], [], [], []
+            found, ids, per = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
-                if len(s):
-                    k = len(s) - least_shared(len(s), t) + 1
-                    heads.append(order_of(s, sketch.value)[:k])
-                    sid.append(digest(s))
-                    size.append(len(s))
-                    per.append(k)
-            if heads:
-                at = pa.array(np.repeat(np.arange(len(per)), per))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(sid, pa.binary()).take(at), pa.array(size, pa.int32()).take(at)], ["shingle", "sid", "size"])
+                if len(s) and (i := short(digest(s))) not in done:
+                    done.add(i)
+                    found.append(signatures(s, t))
+                    ids.append(i)
+                    per.append(len(found[-1]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), per))], ["signature", "id"])
 
-    return docs.mapInArrow(run, "shingle long, sid binary, size int")
+    return docs.mapInArrow(run, "signature long, id long")
 
 
 def _sets(docs: DataFrame, n: int, marks) -> DataFrame:
@@ -218,7 +217,7 @@ def _sets(docs: DataFrame, n: int, marks) -> DataFrame:
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 if len(s):
                     d = digest(s)
-                    m = int.from_bytes(d[:8], "little") % MARKS
+                    m = short(d) % (1 << 64) % MARKS
                     if marks.value[m >> 3] >> (m & 7) & 1 and d not in done:
                         done.add(d)
                         sid.append(d)
@@ -229,10 +228,10 @@ def _sets(docs: DataFrame, n: int, marks) -> DataFrame:
 
 
 def _marks(clusters: DataFrame) -> bytes:
-    """MARKS bits, one set for each digest by its first bytes."""
+    """MARKS bits, one set for each class that is in a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = [np.array([int.from_bytes(d[:8], "little") % MARKS for d in b.column(0).to_pylist()], np.int64) for b in batches]
+        words = [(b.column(0).to_numpy().view(np.uint64) % np.uint64(MARKS)).astype(np.int64) for b in batches]
         at = np.unique(np.concatenate(words)) if words else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(at // 8), pa.array(1 << (at % 8))], ["place", "bit"])
 
@@ -318,24 +317,22 @@ def similar(docs: DataFrame, t: int = 90, n: int = 5, doc_id: str = "doc_id", te
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    table = written(_digests(source, n), "sets")
-    rows = table.where("slot is null").select("doc_id", "n_shingles", "sid")
+    rows = written(_digests(source, n), "digests")
     classes = written(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("many"), F.min("doc_id").alias("first"), F.first("n_shingles").alias("n")), "classes")
-    sketch = spark.sparkContext.broadcast(_sketch(table))
 
-    near = W.partitionBy("shingle").orderBy("size", "sid")
-    chained = _prefixes(source, n, t, sketch).withColumn("_sid", F.lag("sid").over(near)).withColumn("_size", F.lag("size").over(near))
-    edges = chained.where((F.col("_sid") != F.col("sid")) & (100 * F.col("_size") >= t * F.col("size"))).select(F.col("_sid").alias("a"), F.col("sid").alias("b"))
+    chained = _signatures(source, n, t).withColumn("before", F.lag("id").over(W.partitionBy("signature").orderBy("id")))
+    edges = chained.where(F.col("before") != F.col("id")).select(F.col("before").alias("a"), F.col("id").alias("b"))
     clusters = written(components(edges), "clusters")
 
     marks = spark.sparkContext.broadcast(_marks(clusters))
-    members = clusters.select(F.col("node").alias("sid"), F.col("component").alias("cluster")).join(classes, "sid")
+    named = classes.withColumn("node", F.expr("cast(conv(hex(substring(sid, 1, 8)), 16, -10) as bigint)"))
+    members = clusters.join(named, "node").select("sid", "many", "first", "n", F.col("component").alias("cluster"))
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     members = members.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     found = _sets(source, n, marks).dropDuplicates(["sid"])
     placed = found.join(members, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise((F.col("part") > F.col("other")).cast("int"))
-    block = F.concat(F.col("cluster"), F.encode(F.concat_ws(",", F.least("part", "other"), F.greatest("part", "other")), "utf-8"))
+    block = F.concat_ws(",", "cluster", F.least("part", "other"), F.greatest("part", "other"))
     linked = written(_join(placed.select(block.alias("block"), "sid", "many", side.alias("side"), "shingles"), t), "links")
 
     links = linked.groupBy("sid").agg(F.sum("links").alias("links"))
