@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fingerprints, language_model, near_vectors, ngram_join, packing, quality, secrets, token_counts, trie_bpe, url_filter
+from weftline.llm import fingerprints, language_model, near_vectors, ngram_join, oracles, packing, quality, secrets, token_counts, trie_bpe, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_filter.ORACLE}
+    return dict(oracles.ORACLES)
