@@ -1,6 +1,6 @@
 """Merkle fingerprints of documents.
 
-A text's paragraphs are its lines; a paragraph's leaves are its words, eight at a time (a word longer
+A text's paragraphs are its lines; a paragraph's leaves are its words, four at a time (a word longer
 than 64 characters counts as several). Sections are runs of paragraphs that end where a paragraph's
 digest starts with 0 to 3, so that an insertion moves no later border. Parents hash their children's
 full digests up to the root. The fingerprint writes the tree down: the root, then for each section its
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEAF = r"(?s)\s*(?:\S{1,64}\s*){1,8}|\s+"
+LEAF = r"(?s)\s*(?:\S{1,64}\s*){1,4}|\s+"
 
 
 def _short(c: Column) -> Column:
