@@ -81,10 +81,14 @@ b AS (SELECT sample_id - 64 AS k, j, x AS v FROM samples WHERE sample_id BETWEEN
 
 
 def app_events(spark: SparkSession, d: str, ops: dict[str, str]) -> DataFrame:
+    return as_app_events(table(spark, d, "events"), ops)
+
+
+def as_app_events(events: DataFrame, ops: dict[str, str]) -> DataFrame:
     """(seq, op, key, val): events with their types renamed; every seventh login has another user's password."""
     names = F.create_map(*[F.lit(x) for pair in ops.items() for x in pair])
     val = F.expr("concat('pw', cast(CASE WHEN event_id % 7 = 0 THEN user_id + 1 ELSE user_id END AS string))")
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.coalesce(names[F.col("event_type")], F.lit("other")).alias("op"), F.col("user_id").alias("key"), val.alias("val"))
+    return events.select(F.col("event_id").alias("seq"), F.coalesce(names[F.col("event_type")], F.lit("other")).alias("op"), F.col("user_id").alias("key"), val.alias("val"))
 
 
 def passwords(spark: SparkSession, d: str) -> DataFrame:

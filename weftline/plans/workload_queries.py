@@ -162,6 +162,20 @@ SELECT count(*) AS total_events, count(*) FILTER (op = 'login' AND stored = val)
   2 * count(*) FILTER (op = 'post') AS tweet_writes FROM app LEFT JOIN users USING (key)""",
 )(lambda spark, d: events.social(views.app_events(spark, d, SOCIAL), views.passwords(spark, d)))
 
+
+
+def _replayed(spark, d, ops, social):
+    """The same totals by a stream that keeps a state for each key."""
+    whole = views.table(spark, d, "events")
+    users = whole.agg(F.coalesce(F.max("user_id"), F.lit(-1))).first()[0] + 1
+    home = streaming.scratch(spark, "events")
+    stream = views.as_app_events(spark.readStream.schema(whole.schema).parquet(f"{d}/events.parquet*"), ops)
+    return streaming.replay_events(spark, stream, users, social, f"{home}/checkpoint", f"{home}/updates")
+
+
+query("media_review_stream", ORACLES["media_review"])(lambda spark, d: _replayed(spark, d, REVIEW, False))
+query("social_network_stream", ORACLES["social_network"])(lambda spark, d: _replayed(spark, d, SOCIAL, True))
+
 # --- rounds
 
 query("stream_pipeline", "SELECT r AS round, count(*) AS batch_count, CAST(sum(r * 1000 + i) AS BIGINT) AS value_sum FROM (SELECT unnest(range(0, 12)) AS r), (SELECT unnest(range(0, 20)) AS i) WHERE i % 2 = 0 GROUP BY r")(
