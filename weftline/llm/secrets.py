@@ -12,6 +12,8 @@ band and p-value leave the rows: the texts are scanned once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,15 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, normal_tail(z) / 2).otherwise(1 - normal_tail(z) / 2)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once: expressions stay small, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sum(values: Column, start: Column) -> Column:
+    return F.aggregate(values, start, lambda acc, x: acc + x)
+
+
 def battery(values: Column, signs: Column) -> Column:
     """Combined p-value that `values` (numbers below `signs`) are uniform and independent.
 
@@ -71,29 +82,55 @@ def battery(values: Column, signs: Column) -> Column:
     Hilferty's normal). Runs: values below and from the middle, Wald and Wolfowitz. Serial correlation:
     lag one, times the root of n. Fisher's sum of the three.
     """
-    n = F.size(values).cast("double")
-    k = F.least(F.lit(16), F.greatest(F.lit(4), F.floor(n / 5))).cast("int")
-    bins = F.transform(values, lambda v: F.floor(v * k / signs).cast("int"))
-    each = F.transform(F.sequence(F.lit(0), k - 1), lambda b: F.struct(F.size(F.filter(bins, lambda x: x == b)).alias("o"), (n * (F.ceil((b + 1) * signs / k) - F.ceil(b * signs / k)) / signs).alias("e")))
-    chi = F.aggregate(each, F.lit(0.0), lambda acc, x: acc + (x["o"] - x["e"]) * (x["o"] - x["e"]) / x["e"])
-    df = k - 1
-    p_chi = _upper_tail((F.cbrt(chi / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-
-    high = F.transform(values, lambda v: (2 * v >= signs).cast("int"))
-    n1 = F.aggregate(high, F.lit(0), lambda acc, x: acc + x).cast("double")
-    n0 = n - n1
-    changes = F.aggregate(F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda a, b: (a != b).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    mean = 2 * n0 * n1 / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    p_runs = F.when(var > 0, normal_tail((changes + 1 - mean) / F.sqrt(var))).otherwise(F.lit(0.0))
-
-    centre = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / n
-    square = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - centre) * (v - centre))
-    lag = F.aggregate(F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda a, b: (a - centre) * (b - centre)), F.lit(0.0), lambda acc, x: acc + x)
-    p_serial = F.when(square > 0, normal_tail(lag / square * F.sqrt(n))).otherwise(F.lit(0.0))
-
-    half = -(F.log(F.greatest(p_chi, F.lit(1e-300))) + F.log(F.greatest(p_runs, F.lit(1e-300))) + F.log(F.greatest(p_serial, F.lit(1e-300))))
-    return F.least(F.lit(1.0), F.exp(-half) * (1 + half + half * half / 2))
+
+    def prepared(x: Column) -> Column:
+        v, m, n = x["v"], x["m"], F.size(x["v"]).cast("double")
+        return F.struct(
+            v.alias("v"),
+            m.alias("m"),
+            n.alias("n"),
+            F.least(F.lit(16), F.greatest(F.lit(4), F.floor(n / 5))).cast("int").alias("k"),
+            F.transform(v, lambda e: (2 * e >= m).cast("int")).alias("high"),
+            (_sum(v, F.lit(0.0)) / n).alias("centre"),
+        )
+
+    def sums(x: Column) -> Column:
+        v, m, n, k, high, centre = (x[c] for c in ("v", "m", "n", "k", "high", "centre"))
+        pairs = lambda a, f: F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), f)
+        observed = lambda b: F.size(F.filter(v, lambda e: F.floor(e * k / m).cast("int") == b))
+        expected = lambda b: n * (F.ceil((b + 1) * m / k) - F.ceil(b * m / k)) / m
+        each = F.transform(F.sequence(F.lit(0), k - 1), lambda b: F.struct(observed(b).alias("o"), expected(b).alias("e")))
+        return F.struct(
+            n.alias("n"),
+            (k - 1).alias("df"),
+            F.aggregate(each, F.lit(0.0), lambda acc, y: acc + (y["o"] - y["e"]) * (y["o"] - y["e"]) / y["e"]).alias("chi"),
+            _sum(high, F.lit(0)).cast("double").alias("n1"),
+            (_sum(pairs(high, lambda p, q: (p != q).cast("int")), F.lit(0)) + 1).alias("runs"),
+            F.aggregate(v, F.lit(0.0), lambda acc, e: acc + (e - centre) * (e - centre)).alias("square"),
+            _sum(pairs(v, lambda p, q: (p - centre) * (q - centre)), F.lit(0.0)).alias("lag"),
+        )
+
+    def deviations(x: Column) -> Column:
+        mean = 2 * (x["n"] - x["n1"]) * x["n1"] / x["n"] + 1
+        part = 2 / (9 * x["df"])
+        return F.struct(((F.cbrt(x["chi"] / x["df"]) - (1 - part)) / F.sqrt(part)).alias("chi"), mean.alias("mean"), x["runs"].alias("runs"), x["n"].alias("n"), F.when(x["square"] > 0, x["lag"] / x["square"] * F.sqrt(x["n"])).alias("serial"))
+
+    def runs_deviation(x: Column) -> Column:
+        var = (x["mean"] - 1) * (x["mean"] - 2) / (x["n"] - 1)
+        return F.struct(x["chi"].alias("chi"), x["serial"].alias("serial"), F.when(var > 0, (x["runs"] - x["mean"]) / F.sqrt(var)).alias("runs"))
+
+    def p_values(x: Column) -> Column:
+        zero = F.lit(0.0)
+        return F.array(_upper_tail(x["chi"]), F.coalesce(normal_tail(x["runs"]), zero), F.coalesce(normal_tail(x["serial"]), zero))
+
+    def combined(p: Column) -> Column:
+        return F.aggregate(p, F.lit(0.0), lambda acc, y: acc - F.log(F.greatest(y, F.lit(1e-300))))
+
+    steps = [prepared, sums, deviations, runs_deviation, p_values, combined, lambda half: F.least(F.lit(1.0), F.exp(-half) * (1 + half + half * half / 2))]
+    out = F.struct(values.alias("v"), signs.alias("m"))
+    for step in steps:
+        out = _let(out, step)
+    return out
 
 
 def _examined(found: Column) -> Column:
@@ -110,8 +147,8 @@ def _examined(found: Column) -> Column:
 
     def test(s: Column) -> Column:
         signs = F.element_at(alphabets, s["enc"] + 1)
-        values = F.transform(F.filter(F.split(s["found"], ""), lambda c: c != ""), lambda c: F.position(c, signs) - 1)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.least(F.lit(9), F.floor(F.log2(F.length(s["found"]) / F.lit(LEAST / 4)))).cast("int").alias("band"), battery(values, F.length(signs)).alias("p"))
+        values = lambda signs: F.transform(F.filter(F.split(s["found"], ""), lambda c: c != ""), lambda c: F.position(c, signs) - 1)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.least(F.lit(9), F.floor(F.log2(F.length(s["found"]) / F.lit(LEAST / 4)))).cast("int").alias("band"), _let(signs, lambda a: battery(values(a), F.length(a))).alias("p"))
 
     return F.transform(known, test)
 
