@@ -22,16 +22,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 5-word shingles (Jaccard 0.9) the least one stays, by doc_id (a
     null id is the least), then by its text's digest. Blank texts link with nothing and stay."""
-    columns = docs.columns
     key = F.struct(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("md5"))
-    keyed = docs.withColumn("_key", key)
-    found = ngram_join.similar(keyed, doc_id="_key")
-    counted = written(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_shingles")), "kept")
-    kept = keyed.join(counted, keyed["_key"].eqNullSafe(counted["_key"])).drop(counted["_key"])
-    if not counted.where("_n > 1 and _shingles > 0").isEmpty():  # whole rows repeat
-        first = F.row_number().over(W.partitionBy("_key").orderBy(*[c for c in columns]))
-        kept = kept.withColumn("_row", first).where("_row = 1 or _shingles = 0")
-    return kept.select(*columns)
+    keyed = docs.select(key.alias("key"), F.col("text").alias("text"), F.struct(*docs.columns).alias("row"))
+    found = ngram_join.similar(keyed, doc_id="key")
+    least = found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n"), F.max("n_shingles").alias("shingles"))
+    counted = written(least, "kept")
+    kept = keyed.join(counted, keyed["key"].eqNullSafe(counted["kept"]))
+    if not counted.where("n > 1 and shingles > 0").isEmpty():  # whole rows repeat
+        first = F.row_number().over(W.partitionBy("kept").orderBy("row"))
+        kept = kept.withColumn("place", first).where("place = 1 or shingles = 0")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

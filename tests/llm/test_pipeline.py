@@ -51,7 +51,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
 
 def test_stages_keep_columns(spark, tmp_path):
-    d = spark.createDataFrame([(1, "a b c d e f", "x", "row", "y")], "doc_id long, text string, spans string, row string, score string")
+    d = spark.createDataFrame([(1, "a b c d e f", "x", "row", "y", 3)], "doc_id long, text string, spans string, row string, key string, place int")
     y = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     y.write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

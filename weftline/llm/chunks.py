@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from weftline.llm.common import claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: ASCII but ' and <, and Latin-1 letters: nothing that composes, contracts or is a special token.
@@ -87,6 +89,10 @@ class ChunkMemo(dict):
         self.encoder, self.of_runs, self.make, self.join, self.limit = encoder, of_runs, make, join, limit
         self.of_run: dict[str, object] = {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.of_run.clear()
+
     def learn(self, words: list[list[bytes]]) -> None:
         """After this every chunk of `words` has its value here."""
         if len(self) > self.limit:
@@ -110,4 +116,5 @@ def memo(kind: str, build: Callable[[], ChunkMemo], *key) -> ChunkMemo:
     """One memo for each kind in a worker process, kept from task to task."""
     if (k := (kind, *key)) not in _MEMOS:
         _MEMOS[k] = build()
+    claim(repr(k), _MEMOS[k].forget)
     return _MEMOS[k]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +48,17 @@ def pieces(texts: list[bytes | None], at_most: int = 4_000_000) -> Iterator[tupl
         size += len(t or b"")
     if start < len(texts):
         yield start, len(texts)
+
+
+_HOLDERS: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Before a worker fills a memory of its own, the others in the process are cleared: workers serve one
+    operator after the other, and their memories together would not fit."""
+    if list(_HOLDERS) != [name]:
+        for other, drop in _HOLDERS.items():
+            if other != name:
+                drop()
+        _HOLDERS.clear()
+        _HOLDERS[name] = clear

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import pieces, written
+from weftline.llm.common import claim, pieces, written
 from weftline.llm.components import components
 
 MARKS = 1 << 27
@@ -35,6 +35,7 @@ _HASHES: dict[bytes, int] = {}
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; a worker remembers some hundred thousand of them."""
+    claim("word hashes", _HASHES.clear)
     if len(_HASHES) > 300_000:
         _HASHES.clear()
     for w in set(words).difference(_HASHES):

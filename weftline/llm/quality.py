@@ -18,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_bucket, pieces
+from weftline.llm.common import claim, crc_bucket, pieces
 
 BUCKETS = 1 << 16
 #: structure and metadata features, after the words
 DENSE = 16
-_WORDS: dict[bytes, tuple[int, int]] = {}
+_WORDS: dict[bytes, int] = {}
 _SIGN = re.compile(rb"[^A-Za-z0-9\x80-\xff]")
 
 
-def _of_word(w: bytes) -> tuple[int, int]:
-    """(bucket, class bits): letters only, signs at the end, capitals, digits, one sign, repeated sign."""
+def _of_word(w: bytes) -> int:
+    """Bucket, and above it class bits: letters only, signs at the end, capitals, digits, one sign, repeated sign."""
     core = w.strip(b".,;:!?\"'()")
     signs = len(_SIGN.findall(w))
     bits = (
@@ -41,11 +41,12 @@ def _of_word(w: bytes) -> tuple[int, int]:
         | (len(w) > 16) << 6
         | w[-1:].endswith((b".", b",", b"?")) << 7
     )
-    return zlib.crc32(core.lower()) % BUCKETS, bits
+    return zlib.crc32(core.lower()) % BUCKETS + bits * BUCKETS
 
 
 def _learn(words: Iterator[bytes]) -> None:
-    if len(_WORDS) > 600_000:
+    claim("words", _WORDS.clear)
+    if len(_WORDS) > 400_000:
         _WORDS.clear()
     for w in set(words).difference(_WORDS):
         _WORDS[w] = _of_word(w)
@@ -55,13 +56,13 @@ def features(text: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: distinct hashed words with log-scaled frequencies of unit length, then structure."""
     n = len(words)
     counts = Counter(words)
-    found = np.array([_WORDS[w] for w in counts], np.int64).reshape(-1, 2)
+    bits, buckets = np.divmod(np.fromiter(map(_WORDS.__getitem__, counts), np.int64, len(counts)), BUCKETS)
     times = np.fromiter(counts.values(), np.float32, len(counts))
-    idx, at = np.unique(found[:, 0], return_inverse=True)
+    idx, at = np.unique(buckets, return_inverse=True)
     val = np.log1p(np.bincount(at, times, len(idx))).astype(np.float32)
     if n:
         val /= np.sqrt((val * val).sum())
-    share = [float((times * (found[:, 1] >> b & 1)).sum()) / max(n, 1) for b in range(8)]
+    share = [float((times * (bits >> b & 1)).sum()) / max(n, 1) for b in range(8)]
     lines = text.split(b"\n")
     dense = np.array(
         [
