@@ -76,13 +76,11 @@ def audit(trade_rows: DataFrame, prices: DataFrame) -> DataFrame:
         F.count_if(F.col("n") > 10).alias("rule_3"),
         *[F.sum(f"rule_{r}").alias(f"rule_{r}") for r in STATELESS],
     )
-    total = by_symbol.agg(
-        F.collect_list("n").alias("sizes"),  # one number for each symbol
-        F.sum("n").alias("total"),
+    whole = by_symbol.agg(F.sum("n").alias("total"))  # one row; its exchange is the same as below
+    total = by_symbol.join(F.broadcast(whole)).agg(
+        F.count_if(F.col("n") > F.expr("total div 20 + 100")).alias("rule_4"),
         *[F.coalesce(F.sum(f"rule_{r}"), F.lit(0)).alias(f"rule_{r}") for r in range(8) if r != 4],
     )
-    crowded = F.expr("cast(size(filter(sizes, x -> x > total div 20 + 100)) as bigint)")
-    total = total.withColumn("rule_4", crowded)
     rows = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(RULES[r]).alias("rule"), F.col(f"rule_{r}").alias("violations")) for r in range(8)])
     return total.select(F.inline(rows))
 
