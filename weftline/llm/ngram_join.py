@@ -36,7 +36,7 @@ _HASHES: dict[bytes, int] = {}
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; a worker remembers some hundred thousand of them."""
     claim("word hashes", _HASHES.clear)
-    if len(_HASHES) > 300_000:
+    if len(_HASHES) > 250_000:
         _HASHES.clear()
     for w in set(words).difference(_HASHES):
         _HASHES[w] = xxhash.xxh3_64_intdigest(w)

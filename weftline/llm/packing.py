@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm import chunks
-from weftline.llm.common import pieces, written
+from weftline.llm.common import written
 
 PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -105,7 +105,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 def _bytes_of_ids(path: str | None) -> chunks.ChunkMemo:
     encoder = chunks.LibraryEncoder(path)
-    return chunks.ChunkMemo(encoder, encoder.run_bytes, lambda ids: ids.tobytes(), b"".join, 800_000)
+    return chunks.ChunkMemo(encoder, encoder.run_bytes, lambda ids: ids.tobytes(), b"".join, 600_000)
 
 
 def cut(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,10 +119,9 @@ def cut(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str |
         memo = chunks.memo("bytes", lambda: _bytes_of_ids(tokenizer), tokenizer)
         step = 4 * capacity
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             row, piece, start, length, crc = [], [], [], [], []
-            for a, b in pieces(texts):
-                words = [(t or b"").split() for t in texts[a:b]]
+            for a in range(0, batch.num_rows, 512):
+                words = [(t or b"").split() for t in batch.column(1).slice(a, 512).to_pylist()]
                 memo.learn(words)
                 get = memo.__getitem__
                 for i, ws in enumerate(words, a):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import claim, crc_bucket, pieces
+from weftline.llm.common import claim, crc_bucket
 
 BUCKETS = 1 << 16
 #: structure and metadata features, after the words
@@ -46,7 +46,7 @@ def _of_word(w: bytes) -> int:
 
 def _learn(words: Iterator[bytes]) -> None:
     claim("words", _WORDS.clear)
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > 300_000:
         _WORDS.clear()
     for w in set(words).difference(_WORDS):
         _WORDS[w] = _of_word(w)
@@ -191,12 +191,12 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column(0).to_pylist()
             scores = [np.zeros(0)]
-            for a, b in pieces(texts):
-                words = [(t or b"").split() for t in texts[a:b]]
+            for a in range(0, batch.num_rows, 512):
+                texts = [t or b"" for t in batch.column(0).slice(a, 512).to_pylist()]
+                words = [t.split() for t in texts]
                 _learn(chain.from_iterable(words))
-                sets = [features(t or b"", ws) for t, ws in zip(texts[a:b], words)]
+                sets = [features(t, ws) for t, ws in zip(texts, words)]
                 for k in range(0, len(sets), 256):
                     scores.append(m.score(sets[k : k + 256]))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(scores), pa.float64())], names)
