@@ -154,3 +154,16 @@ def test_rounds_and_autoscale(spark, tmp_path):
     rounds.stream_rounds(stream, [events.even], lambda df, b: seen.append(df.count()), str(tmp_path / "ck"))
     rounds.stream_rounds(stream, [events.even], lambda df, b: seen.append(df.count()), str(tmp_path / "ck"))
     assert sum(seen) == 10
+
+
+def test_parts_hold_each_row_once(spark, tmp_path):
+    from weftline.plans.workload_queries import QUERIES
+
+    ids = [None, -7, -2, -1, 0, 1, 2, 5]
+    spark.createDataFrame([(i, "x y") for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "view", 3, "p") for i in ids], "event_id long, event_type string, user_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in run("merge_wordcount")} == {("x", 8), ("y", 8)}
+    assert {tuple(r) for r in run("merge_sum")} == {("x", 8), ("y", 8)} == {tuple(r) for r in run("merge_topk")}
+    assert [r.value for r in run("merge_counters")] == ["24"]
+    assert sorted((r.seq is not None, r.seq or 0) for r in run("merge_concat")) == sorted((i is not None, i or 0) for i in ids)

@@ -279,9 +279,14 @@ query("byte_ranges", "SELECT event_id AS seq, substr(props, 3, 5) AS part, subst
 # --- merging of partial results
 
 
+def _part_of(column: str, n: int):
+    """The one part of `n` a row is in, a null or negative id too."""
+    return F.pmod(F.coalesce(F.col(column), F.lit(0)), F.lit(n))
+
+
 def _parts(spark, d):
     docs = views.table(spark, d, "documents")
-    return [text.word_count(docs.where(F.col("doc_id") % 3 == i)) for i in range(3)]
+    return [text.word_count(docs.where(_part_of("doc_id", 3) == i)) for i in range(3)]
 
 
 def _as_keys(parts):
@@ -306,7 +311,7 @@ _merge_oracles()
 
 def _counter_parts(spark, d):
     e = views.table(spark, d, "events").select(F.col("event_type").alias("key"), F.expr("CASE WHEN event_type = 'error' THEN props ELSE cast(user_id AS string) END").alias("value"), F.col("event_id").alias("seq"))
-    return [e.where(F.col("seq") % 2 == i) for i in range(2)]
+    return [e.where(_part_of("seq", 2) == i) for i in range(2)]
 
 
 query(
