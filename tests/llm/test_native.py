@@ -164,3 +164,13 @@ def test_differing_locates_the_edit(spark):
     assert row.none == [] and len(row.d) == 1
     body = row.fa.split(":")[1].split(";")
     assert sum(s.count(",") + 1 for s in body[: row.d[0].section]) + row.d[0].paragraph == 41
+
+
+def test_every_link_of_a_page_is_an_edge(spark):
+    html = (
+        "<link rel=canonical href='http://b.net/1'><link rel='stylesheet' href='/s.css'><link href=/2 rel=canonical>"
+        "<meta http-equiv=refresh content='0; url=/3'><META HTTP-EQUIV='refresh' content='1; url=http://c.net/4'><link rel=canonical>"
+    )
+    pages = spark.createDataFrame([("http://a.net/x", html), ("http://d.net/", None), (None, html)], "url string, html string")
+    got = sorted((r.source, r.target) for r in url_filter.link_edges(pages).collect())
+    assert got == [("http://a.net/x", t) for t in ("http://a.net/2", "http://a.net/3", "http://b.net/1", "http://c.net/4")]

@@ -60,14 +60,14 @@ def _absolute(base: Column, target: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) urls: <link rel=canonical href> and <meta http-equiv=refresh content="..url=..">."""
+    """(source, target) urls: every <link rel=canonical href> and <meta http-equiv=refresh content="..url=..">."""
     page = F.col(html)
-    link = F.regexp_extract(page, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    meta = F.regexp_extract(page, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    href = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    to = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    links = F.regexp_extract_all(page, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), 1)
+    metas = F.regexp_extract_all(page, F.lit(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), 1)
+    href = F.transform(links, lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    to = F.transform(metas, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     told = pages.where(F.col(url).contains("://") & page.rlike("(?i)canonical|http-equiv"))
-    found = told.select(F.col(url).alias("source"), F.explode(F.array(_absolute(F.col(url), href), _absolute(F.col(url), to))).alias("target"))
+    found = told.select(F.col(url).alias("source"), F.explode(F.transform(F.concat(href, to), lambda x: _absolute(F.col(url), x))).alias("target"))
     return found.where("target is not null")
 
 
