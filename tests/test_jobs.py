@@ -150,3 +150,63 @@ def test_placement():
     assert placement.cut([5, 1, 3, 9], 3) == [1, 2]
     with pytest.raises(ValueError):
         placement.place(5, 2, "pack", 2)
+
+
+def test_unknown_parameters_are_refused(spark):
+    for nodes, what in (
+        ([{"id": "a", "kind": {"Input": {"path": "x", "chunk_size": 3}}}], "chunk_size"),
+        ([{"id": "a", "kind": {"Input": {"path": "x", "binary": True, "chunk_bytes": 3}}}], "chunks are cut"),
+        ([{"id": "a", "kind": {"Shuffle": {"policies": "Modulo"}}}], "policies"),
+    ):
+        with pytest.raises(spec.SpecError, match=what):
+            spec.load({"nodes": nodes})
+    with pytest.raises(spec.SpecError, match="persist_slot"):
+        spec.load({"nodes": [], "persist_slot": [1]})
+    known = {"nodes": [{"id": "a", "kind": {"Input": {"path": "x", "slot": 0, "prefetch": True, "replicate": True, "_comment": "fine"}}}], "_comment2": "fine", "log_level": "info"}
+    assert spec.load(known).nodes[0].params["slot"] == 0
+
+
+def test_chunks_add_up_in_a_persisted_slot(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("".join(f"w{'abcde'[i % 5]} x\n" for i in range(200)))
+    job = {
+        "persist_slots": [200],
+        "nodes": [
+            {"id": "load", "kind": {"Input": {"path": str(tmp_path / "in.txt"), "slot": 0, "chunk_bytes": 301}}},
+            {"id": "map", "deps": ["load"], "kind": {"Func": {"func": "word_count"}}},
+            {"id": "aggregate", "deps": ["map"], "kind": {"Aggregate": {"downstream": 200}}},
+            {"id": "reduce", "deps": ["aggregate"], "kind": {"Merge": {"reducer": "wordcount"}}},
+        ],
+    }
+    done = compiler.run(spark, job)
+    assert done.number == 3  # 1,000 bytes in chunks of 301
+    assert {r.word: r.n for r in done.data["reduce"].collect()} == {"x": 200, **{f"w{c}": 40 for c in "abcde"}}
+    assert {w for w, _, _ in done.seconds} == {0, 1, 2, 3} and done.data["map"].count() < 7
+
+
+def test_slices_hold_each_line_once(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("".join("y" * (i % 17 + 1) + "\n" for i in range(300)))
+    whole = sum(len(x) + 1 for x in (tmp_path / "in.txt").read_text().split("\n")[:-1])
+    parts = []
+    for a, b in ((0, 0.3), (0.3, 0.31), (0.31, 1)):
+        done = compiler.run(spark, {"nodes": [{"id": "in", "kind": {"Input": {"path": str(tmp_path / "in.txt"), "slice": [a, b]}}}]})
+        parts.append([len(r.value) + 1 for r in done.data["in"].orderBy("seq").collect()])
+    assert sum(map(len, parts)) == 300 and sum(map(sum, parts)) == whole
+    assert abs(sum(parts[0]) - 0.3 * whole) < 20
+
+
+def test_split_and_merge_from_the_command_line(spark, tmp_path):
+    import subprocess
+    import sys
+
+    (tmp_path / "in.txt").write_text("".join(f"word{i % 3}: {i}\n" for i in range(50)))
+    prefix = str(tmp_path / "part")
+    run = lambda *args: subprocess.run([sys.executable, "-m", "weftline", *args], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = run("split", str(tmp_path / "in.txt"), "4", prefix)
+    assert out.stdout.split() == [f"{prefix}.{i}" for i in range(4)], out.stderr[-500:]
+    parts = [lines(f"{prefix}.{i}") for i in range(4)]
+    assert sum(parts, []) == (tmp_path / "in.txt").read_text().split("\n")[:-1] and min(map(len, parts)) > 8
+    assert run("merge", "sum", str(tmp_path / "sum"), *[f"{prefix}.{i}" for i in range(4)]).returncode == 0
+    assert lines(str(tmp_path / "sum")) == [f"word{k}: {sum(i for i in range(50) if i % 3 == k)}" for k in range(3)]
+    assert run("split", "x").returncode == 2
+    assert len(sinks.split_lines(files.ordered_lines(spark, str(tmp_path / "in.txt")), 60, str(tmp_path / "few"))) == 60
+    assert sum(len(lines(str(tmp_path / f"few.{i}"))) for i in range(60)) == 50

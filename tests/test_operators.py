@@ -74,6 +74,42 @@ def test_learning_equals_numpy(spark):
     assert {r.sample_id: r.predicted for r in ml.infer(ml.long_samples(df), weights).collect()} == dict(enumerate(best.tolist()))
 
 
+def test_arrays_infer_as_long_samples_do(spark):
+    rng = np.random.default_rng(5)
+    x, y, w = rng.integers(-9, 9, (120, 5)), rng.integers(0, 3, 120), rng.integers(-4, 5, (3, 5))
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))], "sample_id bigint, label bigint, features array<bigint>")
+    weights = ml.weights_frame(spark, w)
+    want = dict(enumerate(np.argmax(x @ w.T, 1).tolist()))
+    assert {r.sample_id: r.predicted for r in ml.infer_arrays(df, weights).collect()} == want
+    assert {r.sample_id: r.predicted for r in ml.infer(ml.long_samples(df), weights).collect()} == want
+    tied = spark.createDataFrame([(0, 0, [0, 0, 0, 0, 0])], df.schema)
+    assert ml.infer_arrays(tied, weights).first().predicted == 0 and ml.infer_arrays(df.where("false"), weights).count() == 0
+
+
+def test_pca_equals_numpy(spark):
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(90, 6)) * [40, 20, 9, 3, 1, 0.2]).round()
+    df = spark.createDataFrame([(i % 2, i, 0, v.tolist()) for i, v in enumerate(x)], "shard int, sample_id bigint, label bigint, features array<double>")
+    got = {r.sample_id: r.projection for r in ml.pca(df, components=2, rounds=60).collect()}
+    for shard in (0, 1):
+        own = x[shard::2] - x[shard::2].mean(0)
+        _, _, axes = np.linalg.svd(own, full_matrices=False)
+        want = own @ axes[:2].T
+        have = np.array([got[i] for i in range(shard, 90, 2)])
+        for k in range(2):  # an axis has no sign of its own
+            assert min(np.abs(have[:, k] - s * want[:, k]).max() for s in (1, -1)) < 1.5
+    assert ml.pca(df.where("false")).count() == 0
+
+
+def test_terms_count_within_a_row(spark):
+    from weftline.operators import text
+
+    docs = spark.createDataFrame([("The the\tcat, ca't don't",), ("cat É1éé --  the",), (None,), ("",), ("an ox",)], "body string")
+    assert {tuple(r) for r in text.word_count(docs, "body").collect()} == {("the", 3), ("cat", 3), ("dont", 1), ("Ééé", 1), ("an", 1), ("ox", 1)}
+    got = {r.word: (r.tf, r.df) for r in text.tf_idf(docs, "body").collect()}
+    assert got == {"the": (3, 2), "cat": (3, 2), "dont": (1, 1), "Ééé": (1, 1)}
+
+
 def test_blocks_equal_the_product(spark):
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 9, (23, 17)), rng.integers(0, 9, (17, 11))

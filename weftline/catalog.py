@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.plans import text_queries, workload_queries
+from weftline.plans import storage_queries, text_queries
 
 
 def queries() -> dict:
-    return text_queries.QUERIES | workload_queries.QUERIES
+    return text_queries.QUERIES | storage_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return text_queries.ORACLES | workload_queries.ORACLES
+    return text_queries.ORACLES | storage_queries.ORACLES

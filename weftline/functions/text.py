@@ -18,9 +18,10 @@ def tokens(text: Column) -> Column:
     return F.split(text, r"(?U)\s+")
 
 
-def word(token: Column) -> Column:
-    """The alphabetic characters of a token, A-Z lowered."""
-    return ascii_lower(F.regexp_replace(token, r"[^\p{IsAlphabetic}]", ""))
+def words(text: Column) -> Column:
+    """Array of the words of a text: the alphabetic characters of each token, A-Z lowered. Other characters are taken out of
+    the whole text at once, so there may be an empty word at either end."""
+    return tokens(ascii_lower(F.regexp_replace(text, r"(?U)[^\p{IsAlphabetic}\s]+", "")))
 
 
 def floor_log2(n: Column) -> Column:

@@ -38,6 +38,26 @@ def infer(samples: DataFrame, weights: DataFrame) -> DataFrame:
     return first_max(scores(samples, weights), ("sample_id", "label"))
 
 
+def infer_arrays(samples: DataFrame, weights: DataFrame) -> DataFrame:
+    """(sample_id, label, predicted) for (sample_id, label, features array) rows: no row for each feature, no shuffle.
+
+    `weights` (cls, j, w) becomes one row, which every task has: a model must fit one. Missing weights are 0; the
+    lowest class of equal scores wins.
+    """
+    size = weights.agg(F.max("j").alias("mj"))
+    vectors = weights.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("j", "w"))).alias("of")).join(F.broadcast(size))
+    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), "mj"), lambda j: F.coalesce(F.element_at("of", j), F.lit(0).cast("bigint")))
+    model = vectors.select("cls", dense.alias("w")).agg(F.array_sort(F.collect_list(F.struct("cls", "w"))).alias("model"))  # one row
+    total = lambda m: F.aggregate(F.zip_with("features", m["w"], lambda x, w: F.coalesce(x * w, F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    scored = samples.join(F.broadcast(model)).select("sample_id", "label", F.array_max(F.transform("model", lambda m: F.struct(total(m).alias("s"), (-m["cls"]).alias("c")))).alias("best"))
+    return scored.select("sample_id", "label", (-F.col("best.c")).alias("predicted"))
+
+
+def weights_frame(spark, w: np.ndarray) -> DataFrame:
+    """(cls, j, w) of a matrix of weights, classes by features."""
+    return spark.createDataFrame([(c, j, int(w[c, j])) for c in range(w.shape[0]) for j in range(w.shape[1])], "cls bigint, j bigint, w bigint")
+
+
 def accuracy(predicted: DataFrame) -> DataFrame:
     """One row: correct, total, predsum, and accuracy in hundredths of a percent."""
     out = predicted.agg(F.count_if(F.col("predicted") == F.col("label")).alias("correct"), F.count("*").alias("total"), F.coalesce(F.sum("predicted"), F.lit(0)).alias("predsum"))

@@ -78,22 +78,39 @@ def by_key(records: DataFrame, slots: int, key: str = "key") -> DataFrame:
     return records.withColumn("dest", F.pmod(F.coalesce(F.col(key).try_cast("bigint"), F.lit(0)), F.lit(slots)).cast("int"))
 
 
+def read_next(records: DataFrame, cursors: DataFrame | None, most: int, slot: str = "origin", seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """The next `most` unread records of each slot, and the cursors (slot, last) after them. `cursors` None: nothing was read yet;
+    a slot without new records keeps its cursor."""
+    unread = records
+    if cursors is not None:
+        unread = records.join(cursors.select(slot, "last"), slot, "left").where(F.col("last").isNull() | (F.col(seq) > F.col("last"))).drop("last")
+    got = unread.withColumn("_k", F.row_number().over(W.partitionBy(slot).orderBy(seq))).where(F.col("_k") <= most).drop("_k")
+    after = got.groupBy(slot).agg(F.max(seq).alias("last"))
+    if cursors is not None:
+        after = cursors.select(slot, "last").unionByName(after).groupBy(slot).agg(F.max("last").alias("last"))
+    return got, after
+
+
 def slot_counts(routed: DataFrame) -> DataFrame:
     """(dest, n) records in each slot that has some."""
     return routed.groupBy("dest").agg(F.count("*").alias("n"))
 
 
+def ranges(records: DataFrame, order: str) -> Column:
+    """The range of `order` a row lies in, of four for each of the shuffle's partitions: cut by approximate percentiles, numbered
+    from 0. Ranges of one value each are as long as that value is frequent."""
+    n = max(2, min(10_000, 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = sorted(set(records.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+
+
 def running_bytes(records: DataFrame, size: Column, order: str) -> DataFrame:
     """`records` with before (bytes of all records in front, in the total order `order`) and total.
 
     Sums are taken in ranges of `order` first; only the ranges' sums (a few for each partition) meet in one
     task, so no window spans the whole table.
     """
-    spark = records.sparkSession
-    n = max(2, min(10_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted(set(records.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    placed = records.withColumn("_size", size).withColumn("_bucket", bucket)
+    placed = records.withColumn("_size", size).withColumn("_bucket", ranges(records, order))
     sums = placed.groupBy("_bucket").agg(F.sum("_size").alias("_sum"))
     upto = sums.select("_bucket", (F.sum("_sum").over(W.orderBy("_bucket")) - F.col("_sum")).alias("_front"), F.sum("_sum").over(W.partitionBy()).alias("total"))
     inside = W.partitionBy("_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -116,17 +133,24 @@ def split_contiguous(records: DataFrame, workers: int, payload: str = "payload",
     if most[0] <= most[1] // workers:
         exact = F.expr(f"size(filter(sequence(1, {max(1, workers - 1)}), w -> w < {workers} and before >= (w * total) div {workers}))")
         return placed.withColumn("worker", exact).drop("before", "total", "_bytes")
-    # feedback: the cut after a record moves the next target on by one only; records that pass a target are few
-    ends = placed.select(F.col(order).alias("o"), F.col("before").alias("b"), (F.col("before") + F.col("_bytes")).alias("e"))
-    cuts, w, total = [], 0, most[1]
-    while w < workers - 1:
-        after = cuts[-1] if cuts else None
-        rest = ends if after is None else ends.where(F.col("o") > F.lit(after))
-        hit = rest.where(F.col("e") >= ((w + 1) * total) // workers).agg(F.min("o")).first()[0]
-        if hit is None:
-            break
-        cuts.append(hit)
+    # feedback: the cut after a record moves the next target on by one only. A record that reaches a target in its closed form
+    # is one of at most `workers`, and behind a large record every one may end a segment: those few are looked at in order.
+    total = most[1]
+    targets = F.expr(f"size(filter(sequence(1, {max(1, workers - 1)}), w -> before < (w * total) div {workers} and before + _bytes >= (w * total) div {workers}))")
+    ends = placed.select(F.col(order).alias("o"), "before", "_bytes", "total").withColumn("hits", targets)
+    crossing = ends.where("hits > 0").orderBy("o").collect()  # workers - 1 at most
+    cuts, w = [], 0
+    for i, r in enumerate(crossing):
+        until = crossing[i + 1].o if i + 1 < len(crossing) else None
+        due = sum(r.before + r._bytes >= (k * total) // workers for k in range(1, workers))  # targets reached by here
+        cuts.append(r.o)
         w += 1
+        if w < due:  # the records after this one end a segment each, until the targets are made up for
+            between = ends.where(F.col("o") > r.o)
+            between = between if until is None else between.where(F.col("o") < until)
+            for x in between.orderBy("o").limit(due - w).select("o").collect():
+                cuts.append(x.o)
+                w += 1
     worker = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
     return placed.withColumn("worker", worker).drop("before", "total", "_bytes")
 

@@ -13,9 +13,19 @@ def totals(deltas: DataFrame, name: str = "name", delta: str = "delta") -> DataF
 
 
 def fetch_add(deltas: DataFrame, name: str = "name", delta: str = "delta", order: str = "seq") -> DataFrame:
-    """`deltas` with the value that each addition found (`old_value`), in `order` within a name."""
-    running = W.partitionBy(name).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return deltas.withColumn("old_value", F.sum(delta).over(running) - F.col(delta))
+    """`deltas` with the value that each addition found (`old_value`), in `order` within a name.
+
+    Sums are taken in ranges of `order` first, so that a name of very many additions is spread over as many tasks as
+    there are ranges; only its ranges' sums meet.
+    """
+    from weftline.operators.routing import ranges
+
+    placed = deltas.withColumn("_range", ranges(deltas, order))
+    sums = placed.groupBy(name, "_range").agg(F.sum(delta).alias("_sum"))
+    front = sums.select(F.col(name).alias("_name"), F.col("_range").alias("_of"), (F.sum("_sum").over(W.partitionBy(name).orderBy("_range")) - F.col("_sum")).alias("_front"))
+    inside = W.partitionBy(name, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    own = placed.withColumn("_own", F.coalesce(F.sum(delta).over(inside), F.lit(0)))
+    return own.join(front, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_range") == F.col("_of"))).withColumn("old_value", F.col("_front") + F.col("_own")).drop("_name", "_of", "_front", "_own", "_range")
 
 
 def compare_and_swap(attempts: DataFrame, initial: int = 0, name: str = "name", order: str = "seq") -> DataFrame:

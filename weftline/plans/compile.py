@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from collections.abc import Callable, Mapping
 
@@ -14,13 +15,22 @@ from weftline.sources import files, sinks
 from weftline.streaming import rounds
 
 
+#: an input's lines with their chunk, for all runs of a job
+CHUNKS = "chunks:"
+#: datasets of `persist_slots` go from run to run under this name
+PERSISTED = "persisted:"
+
+
 class Run:
-    """Datasets by node id (and by the names nodes give them), and what sinks returned."""
+    """Datasets by node id (and by the names nodes give them), what sinks returned, and the seconds each node took
+    (wave, node, seconds): sinks run there, datasets are only planned."""
 
     def __init__(self, spark: SparkSession, job: spec.Job, number: int = 0, kept: Mapping[str, DataFrame] | None = None) -> None:
         self.spark, self.job, self.number = spark, job, number
         self.data: dict[str, DataFrame] = dict(kept or {})
         self.results: dict[str, object] = {}
+        self.pending: list[Callable[[], object]] = []
+        self.seconds: list[tuple[int, str, float]] = []
         self.uses = Counter(d for n in job.nodes for d in (*n.deps, *n.params.get("inputs", ())))
 
     def inputs(self, node: spec.Node) -> list[DataFrame]:
@@ -39,6 +49,10 @@ class Run:
             df = df.repartition(placement.cap(int(wanted), [self.spark.sparkContext.defaultParallelism], 0))
         if node.params.get("cache") and self.uses[node.id] > 1:
             df = df.persist()
+        if names := {node.id, str(node.params.get("output")), str(node.params.get("downstream"))} & set(self.job.persist):
+            name = f"{PERSISTED}{sorted(names)[0]}"
+            df = self.data[name].unionByName(df) if name in self.data else df
+            df = self.data[name] = sinks.snapshot(df, rounds.scratch(self.spark, "kept"), "all")
         self.data[node.id] = df
         if "output" in node.params:
             self.data[node.params["output"]] = df
@@ -52,8 +66,11 @@ def _input(run: Run, n: spec.Node) -> None:
     kind = p.get("format", "binary" if p.get("binary") else "text")
     if kind == "binary":
         run.put(n, files.whole_files(run.spark, files.cycled(paths, run.number) if p.get("cycle") else paths))
+    elif kind == "text" and "chunk_bytes" in p:
+        run.put(n, run.data[f"{CHUNKS}{n.id}"].where(F.col("chunk") == run.number).drop("chunk"))
     elif kind == "text":
-        run.put(n, files.ordered_lines(run.spark, files.cycled(paths, run.number)))
+        lines = files.ordered_lines(run.spark, files.cycled(paths, run.number))
+        run.put(n, files.sliced(lines, *map(float, p["slice"])) if "slice" in p else lines)
     elif kind in ("trades", "samples", "events"):
         read = {"trades": files.trade_csv, "samples": files.sample_csv, "events": files.event_lines}[kind]
         run.put(n, read(run.spark, files.cycled(paths, run.number)))
@@ -99,6 +116,8 @@ def _shuffle(run: Run, n: spec.Node) -> None:
         out = routing.shuffle(rows, routing.modulo(F.col("upstream"), slots))
     else:
         raise spec.SpecError(f"node {n.id!r}: no policy {policy['type']!r}")
+    if slots > 1:  # each slot reads it
+        out = out.persist()
     run.put(n, out)
     for s in range(slots):
         run.data[f"{n.id}/{s}"] = out.where(F.col("dest") == s)
@@ -131,15 +150,21 @@ def _stream_output(run: Run, n: spec.Node) -> None:
     path, by = p["paths"], p.get("round", "round")
     column = p.get("column", "payload")
     place = F.pmod(F.col(by), F.lit(len(path)))
+    df = df.persist()  # computed once, whatever the number of files
     for k, target in enumerate(path[: int(p.get("rounds", len(path)))]):
         sinks.write_lines(df.where(place == k), target, column, tuple(p.get("order", (by,))))
+    df.unpersist()
     run.results[n.id] = path
 
 
 def _persist(run: Run, n: spec.Node) -> None:
     where = n.params["output_dir"]
     for name, df in zip(n.params.get("inputs", n.deps), run.inputs(n)):
-        run.data[name] = sinks.snapshot(df, where, str(name).replace("/", "_"))
+        file = str(name).replace("/", "_")
+        if n.params.get("async"):  # written beside what follows, waited for when the run ends
+            run.pending.append(sinks.snapshot_later(df, where, file))
+        else:
+            run.data[name] = sinks.snapshot(df, where, file)
     run.results[n.id] = where
 
 
@@ -201,12 +226,23 @@ def run(spark: SparkSession, job: str | Mapping | spec.Job, keep: tuple[str, ...
     unknown = sorted({n.kind for n in job.nodes} - set(KINDS))
     if unknown:
         raise spec.SpecError(f"no node kind {', '.join(unknown)}; there are {', '.join(sorted(KINDS))}")
-    done, kept = None, {}
-    for number in range(job.runs):
+    done, kept, runs = None, {}, job.runs
+    for n in job.nodes:
+        if "chunk_bytes" in n.params:  # a run for each chunk
+            lines = files.ordered_lines(spark, n.params.get("paths") or n.params["path"])
+            cut = sinks.snapshot(files.chunked(lines, int(n.params["chunk_bytes"])), rounds.scratch(spark, "chunks"), n.id)
+            kept[f"{CHUNKS}{n.id}"] = cut
+            runs = max(runs, (cut.agg(F.max("chunk")).first()[0] or 0) + 1)
+    for number in range(runs):
         done = Run(spark, job, number, kept)
-        for node in spec.order(job):
-            KINDS[node.kind](done, node)
-        kept = {k: done.data[k] for k in keep if k in done.data}
+        for wave, nodes in enumerate(spec.waves(job)):
+            for node in nodes:
+                began = time.monotonic()
+                KINDS[node.kind](done, node)
+                done.seconds.append((wave, node.id, time.monotonic() - began))
+        for wait in done.pending:
+            wait()
+        kept = {k: df for k, df in done.data.items() if k in keep or k.startswith((CHUNKS, PERSISTED))}
     if job.merge and done:
         last = done.data[job.nodes[-1].id] if job.nodes[-1].id in done.data else done.inputs(job.nodes[-1])[0]
         done.data["merged"] = merge.reducer(job.merge["reducer"])([last])

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators import audit, events, images, linalg, ml, routing, sort, text
+from weftline.operators import audit, events, images, linalg, merge, ml, routing, sort, text
+from weftline.sources import files, sinks
 
 Function = Callable[..., DataFrame]
 FUNCTIONS: dict[str, Function] = {}
@@ -37,8 +38,9 @@ def _one(f: Callable[[DataFrame], DataFrame]) -> Function:
 
 function("words")(lambda inputs, column="value": text.words(inputs[0], column))
 function("word_count")(lambda inputs, column="value": text.word_count(inputs[0], column))
+function("count_words")(lambda inputs: inputs[0].groupBy("word").agg(F.count("*").alias("n")))
 function("word_count_summary")(_one(text.summary))
-function("tf_idf")(lambda inputs, column="value", doc_id="seq", top=50: text.tf_idf(inputs[0], doc_id, column, top))
+function("tf_idf")(lambda inputs, column="value", top=50: text.tf_idf(inputs[0], column, top))
 function("parse_trades")(_one(audit.trades))
 function("audit")(lambda inputs: audit.audit(inputs[0], inputs[1]))
 function("audit_rule")(lambda inputs, number: audit.rule(inputs[0], inputs[1], number))
@@ -49,6 +51,8 @@ function("sort_records")(lambda inputs, key="key", ties=(): sort.sorted_records(
 function("long_samples")(_one(ml.long_samples))
 function("train")(lambda inputs, classes=10, epochs=1: ml.train(inputs[0], classes, epochs))
 function("infer")(lambda inputs: ml.infer(inputs[0], inputs[1]))
+function("infer_arrays")(lambda inputs: ml.infer_arrays(inputs[0], inputs[1]))
+function("fit")(lambda inputs, classes=10, epochs=10: ml.weights_frame(inputs[0].sparkSession, ml.fit(inputs[0], classes, epochs)))
 function("accuracy")(_one(ml.accuracy))
 function("stumps")(lambda inputs, classes=10: ml.stumps(inputs[0], classes))
 function("vote")(lambda inputs, classes=10: ml.vote(inputs[0], inputs[1], classes))
@@ -61,6 +65,11 @@ function("social")(lambda inputs: events.social(inputs[0], inputs[1]))
 function("even")(_one(events.even))
 function("mark")(_one(events.mark))
 function("round_summary")(_one(events.round_summary))
+function("fixed_width")(lambda inputs, width=10: files.fixed_width(inputs[0], width))
+function("split_contiguous")(lambda inputs, workers, order="seq": routing.split_contiguous(inputs[0], workers, order=order))
+function("key_values")(lambda inputs, column="value": merge.key_values(inputs[0], column))
+function("image_decode")(_one(images.decode))
+function("image_pgm")(_one(sinks.pgm))
 for _name in ("rotate", "grayscale", "equalize", "blur", "resize", "noop", "pipeline", "parse_netpbm"):
     function(f"image_{_name}")(_one(getattr(images, _name)))
 function("scatter")(lambda inputs, slots: routing.scatter(inputs[0], slots))

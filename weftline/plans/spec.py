@@ -16,6 +16,27 @@ ALIASES = {
 }
 
 
+#: fields of a job; those of the second line name what Spark's own layers do here
+JOB_FIELDS = {
+    "name", "nodes", "dag", "node_dags", "per_shard_dag", "merge", "shards", "input", "output", "runs", "mode", "persist_slots",
+    "shm_path", "wasm_path", "python_script", "python_wasm", "log_level", "rdma", "max_shard_bytes", "distribute", "max_concurrent", "keep_intermediates", "total_nodes", "max_colocation", "shared_inputs", "placement_policy", "hints", "converge_on_coordinator",
+}
+#: parameters of a node that any kind may have; those of the second line name what Spark's own layers do here
+COMMON = {
+    "inputs", "output", "fanout", "cache", "upstream", "downstream",
+    "slot", "placement", "split", "out_weight", "prefetch", "replicate", "_comment",
+}
+PARAMS = {
+    "input": {"path", "paths", "format", "binary", "cycle", "options", "schema", "chunk_bytes", "slice"},
+    "inline": {"items"}, "rounds": {"rounds", "loads"}, "seeds": {"prefix", "n"}, "file_dispatch": {"path", "workers", "policy", "max_bytes"},
+    "output": {"path", "paths", "column", "split_records", "index", "format", "options", "separator", "order"},
+    "stream_output": {"paths", "column", "round", "rounds", "order"}, "persist": {"output_dir", "async", "atomics", "stream_slots", "shared_state"},
+    "watch": {"path", "order", "origin", "column"}, "free": {"slots"}, "bridge": set(), "send": {"peer"}, "recv": {"peer"}, "aggregate": set(),
+    "shuffle": {"policy", "slots", "upstream_ids"}, "func": {"func", "args"}, "grouping": {"stages"}, "pipeline": {"rounds", "loads", "stages", "width"},
+    "merge": {"reducer"}, "resolve": {"policy"}, "atomic_add": set(), "atomic_cas": {"initial"}, "barrier": set(),
+}
+
+
 class SpecError(ValueError):
     """A job that cannot run as written."""
 
@@ -36,6 +57,8 @@ class Job:
     runs: int = 1
     merge: Mapping | None = None
     shards: int = 1
+    #: datasets (by node id, output or downstream name) that add up over the runs of a job
+    persist: tuple[str, ...] = ()
 
 
 def _node(raw: Mapping) -> Node:
@@ -61,6 +84,8 @@ def load(job: str | Mapping) -> Job:
     if "per_shard_dag" in raw:
         inner = load(raw["per_shard_dag"])
         return Job(inner.nodes, raw.get("name", inner.name), 1, raw.get("merge"), int(raw.get("shards") or 1))
+    if unknown := set(raw) - JOB_FIELDS - {k for k in raw if k.startswith("_comment")}:
+        raise SpecError(f"a job has no field {', '.join(sorted(unknown))}")
     if "dag" in raw:
         return load(raw["dag"])
     if "node_dags" in raw:
@@ -71,7 +96,7 @@ def load(job: str | Mapping) -> Job:
     else:
         raise SpecError("a job has nodes, dag, node_dags or per_shard_dag")
     reset = raw.get("mode") in ("reset", "Reset")
-    out = Job(tuple(map(_node, nodes)), raw.get("name", "job"), int(raw.get("runs", 1)) if reset or "runs" in raw else 1)
+    out = Job(tuple(map(_node, nodes)), raw.get("name", "job"), int(raw.get("runs", 1)) if reset or "runs" in raw else 1, persist=tuple(map(str, raw.get("persist_slots", ()))))
     check(out)
     return out
 
@@ -83,6 +108,10 @@ def check(job: Job) -> None:
     for n in job.nodes:
         if missing := [d for d in n.deps if d not in set(ids)]:
             raise SpecError(f"node {n.id!r} depends on {missing}, which the job does not have")
+        if unknown := set(n.params) - COMMON - PARAMS.get(n.kind, set(n.params)):
+            raise SpecError(f"node {n.id!r}: {n.kind} has no parameter {', '.join(sorted(unknown))}")
+        if "chunk_bytes" in n.params and ("slice" in n.params or n.params.get("binary") or n.params.get("format", "text") != "text"):
+            raise SpecError(f"node {n.id!r}: chunks are cut from the lines of a text")
     groups = {n.barrier_group for n in job.nodes if n.barrier_group is not None}
     if len(groups) > MOST_BARRIERS:
         raise SpecError(f"{len(groups)} barrier groups; at most {MOST_BARRIERS}")

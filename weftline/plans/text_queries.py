@@ -12,7 +12,7 @@ def _docs(spark, sf_dir):
 QUERIES = {
     "word_count": lambda spark, d: op.word_count(_docs(spark, d)),
     "word_count_summary": lambda spark, d: op.summary(op.word_count(_docs(spark, d))),
-    "tfidf_top50": lambda spark, d: op.tf_idf(_docs(spark, d), "doc_id"),
+    "tfidf_top50": lambda spark, d: op.tf_idf(_docs(spark, d)),
 }
 
 _WORDS = r"""

@@ -67,17 +67,12 @@ samples AS (
 )"""
 
 
-def matrix(spark: SparkSession, d: str, first: int, size: int, row: str, col: str) -> DataFrame:
-    """(row, col, v): a square of `size` vectors from number `first` on; the matrix workload's own input size."""
-    s = samples(spark, d).where(F.col("sample_id").between(first, first + size - 1) & (F.col("j") < size))
-    return s.select((F.col("sample_id") - first).alias(row), F.col("j").alias(col), F.col("x").alias("v"))
+def matrix(spark: SparkSession, d: str, row: str, col: str) -> DataFrame:
+    """(row, col, v): every vector as a row."""
+    return samples(spark, d).select(F.col("sample_id").alias(row), F.col("j").alias(col), F.col("x").alias("v"))
 
 
-MATRIX_SQL = (
-    SAMPLES_SQL
-    + """, a AS (SELECT sample_id AS i, j AS k, x AS v FROM samples WHERE sample_id < 64),
-b AS (SELECT sample_id - 64 AS k, j, x AS v FROM samples WHERE sample_id BETWEEN 64 AND 127)"""
-)
+MATRIX_SQL = SAMPLES_SQL + ", a AS (SELECT j AS i, sample_id AS k, x AS v FROM samples), b AS (SELECT sample_id AS k, j, x AS v FROM samples)"
 
 
 def app_events(spark: SparkSession, d: str, ops: dict[str, str]) -> DataFrame:

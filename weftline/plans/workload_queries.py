@@ -65,7 +65,7 @@ def _ranges(spark, d):
     return sort.range_summary(views.keys(spark, d), RANGES)
 
 
-@query("terasort_finalize", _SUMMARY + " SELECT count(*) AS ranges, CAST(sum(records) AS BIGINT) AS records, CAST(sum(keysum) AS BIGINT) AS keysum, true AS in_order FROM summary")
+@query("terasort_finalize", _SUMMARY + ", steps AS (SELECT *, lag(last_key) OVER (ORDER BY range_id) AS before FROM summary) SELECT count(*) AS ranges, CAST(sum(records) AS BIGINT) AS records, CAST(sum(keysum) AS BIGINT) AS keysum, bool_and(before IS NULL OR before <= first_key) AS in_order FROM steps")
 def _finalize(spark, d):
     return sort.finalize(sort.range_summary(views.keys(spark, d), RANGES))
 
@@ -81,14 +81,15 @@ _PRODUCT = f"WITH {views.MATRIX_SQL}, c AS (SELECT i, b.j AS j, CAST(sum(a.v * b
 
 
 def _ab(spark, d):
-    return views.matrix(spark, d, 0, 64, "i", "k"), views.matrix(spark, d, 64, 64, "k", "j")
+    """The vectors' transpose and the vectors: 64 by n, and n by 64, over all n rows."""
+    return views.matrix(spark, d, "k", "i").select("i", "k", "v"), views.matrix(spark, d, "k", "j")
 
 
 query("mat_mul", _PRODUCT + " SELECT i, j, v FROM c")(lambda spark, d: linalg.multiply(*_ab(spark, d)))
 query("mat_mul_blocks", _PRODUCT + " SELECT i, j, CAST(v AS DOUBLE) AS v FROM c")(lambda spark, d: linalg.multiply_blocks(*_ab(spark, d), block=16))
 query("mat_checksum", _PRODUCT + " SELECT CAST(sum(v) AS BIGINT) AS checksum, count(*) AS elements FROM c")(lambda spark, d: linalg.checksum(linalg.multiply(*_ab(spark, d))))
-query("mat_tile", f"WITH {views.MATRIX_SQL} SELECT i // 16 AS tile_i, j // 16 AS tile_j, CAST(sum(v) AS BIGINT) AS total, count(*) AS cells FROM (SELECT i, k AS j, v FROM a) GROUP BY 1, 2")(
-    lambda spark, d: linalg.tiles(views.matrix(spark, d, 0, 64, "i", "j"), 16, 16).groupBy("tile_i", "tile_j").agg(F.sum("v").alias("total"), F.count("*").alias("cells"))
+query("mat_tile", f"WITH {views.MATRIX_SQL} SELECT i // 16 AS tile_i, j // 16 AS tile_j, CAST(sum(v) AS BIGINT) AS total, count(*) AS cells FROM (SELECT k AS i, j, v FROM b) GROUP BY 1, 2")(
+    lambda spark, d: linalg.tiles(views.matrix(spark, d, "i", "j"), 16, 16).groupBy("tile_i", "tile_j").agg(F.sum("v").alias("total"), F.count("*").alias("cells"))
 )
 
 # --- integer machine learning
@@ -105,24 +106,27 @@ _PREDICT = """, scored AS (SELECT sample_id, label, cls, CAST(sum(w * x) AS BIGI
 predicted AS (SELECT sample_id, label, cls AS predicted FROM scored QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, cls) = 1)"""
 _ACCURACY = " SELECT count(*) FILTER (predicted = label) AS correct, count(*) AS total, CAST(sum(predicted) AS BIGINT) AS predsum, count(*) FILTER (predicted = label) * 10000 // count(*) AS acc_bp FROM predicted"
 
-query("sgd_epoch1", _W0 + _epoch("w0", "w1") + " SELECT cls, j, w FROM w1")(lambda spark, d: ml.train(views.samples(spark, d), epochs=1))
-query("sgd_epoch2", _W0 + _epoch("w0", "w1") + _epoch("w1", "w2") + " SELECT cls, j, w FROM w2")(lambda spark, d: ml.train(views.samples(spark, d), epochs=2))
+def _fitted(spark, d, epochs):
+    return ml.weights_frame(spark, ml.fit(views.sample_arrays(spark, d), epochs=epochs))
+
+
+query("sgd_epoch1", _W0 + _epoch("w0", "w1") + " SELECT cls, j, w FROM w1")(lambda spark, d: _fitted(spark, d, 1))
+query("sgd_epoch2", _W0 + _epoch("w0", "w1") + _epoch("w1", "w2") + " SELECT cls, j, w FROM w2")(lambda spark, d: _fitted(spark, d, 2))
+query("sgd_epoch1_long", _W0 + _epoch("w0", "w1") + " SELECT cls, j, w FROM w1")(lambda spark, d: ml.train(views.samples(spark, d), epochs=1))
 query("sgd_validate", _W0 + _epoch("w0", "w1") + _epoch("w1", "w2") + _PREDICT.format(w="w2") + _ACCURACY)(
-    lambda spark, d: ml.accuracy(ml.infer(views.samples(spark, d), _weights(spark, ml.fit(views.sample_arrays(spark, d), epochs=2))))
+    lambda spark, d: ml.accuracy(ml.infer_arrays(views.sample_arrays(spark, d), _fitted(spark, d, 2)))
 )
 _MODEL = "WITH " + views.SAMPLES_SQL + ", model AS (SELECT CAST(cls AS BIGINT) AS cls, CAST(j AS BIGINT) AS j, CASE WHEN j % 10 = cls THEN 4 ELSE 1 END AS w FROM (SELECT unnest(range(0, 10)) AS cls), (SELECT unnest(range(0, 64)) AS j))"
 
 
-def _weights(spark, w):
-    return spark.createDataFrame([(c, j, int(w[c, j])) for c in range(w.shape[0]) for j in range(w.shape[1])], "cls bigint, j bigint, w bigint")
-
-
 def _model(spark):
     return spark.range(640).selectExpr("id div 64 AS cls", "id % 64 AS j", "CASE WHEN id % 64 % 10 = id div 64 THEN 4 ELSE 1 END AS w")
 
 
-query("ml_inference", _MODEL + _PREDICT.format(w="model") + _ACCURACY)(lambda spark, d: ml.accuracy(ml.infer(views.samples(spark, d), _model(spark))))
-query("ml_predictions", _MODEL + _PREDICT.format(w="model") + " SELECT sample_id, label, predicted FROM predicted")(lambda spark, d: ml.infer(views.samples(spark, d), _model(spark)))
+query("ml_inference", _MODEL + _PREDICT.format(w="model") + _ACCURACY)(lambda spark, d: ml.accuracy(ml.infer_arrays(views.sample_arrays(spark, d), _model(spark))))
+_PREDICTIONS = _MODEL + _PREDICT.format(w="model") + " SELECT sample_id, label, predicted FROM predicted"
+query("ml_predictions", _PREDICTIONS)(lambda spark, d: ml.infer_arrays(views.sample_arrays(spark, d), _model(spark)))
+query("ml_predictions_long", _PREDICTIONS)(lambda spark, d: ml.infer(views.samples(spark, d), _model(spark)))
 
 _STUMPS = f"""WITH {views.SAMPLES_SQL},
 s AS (SELECT sample_id % 8 AS shard, * FROM samples),
@@ -186,7 +190,13 @@ query(
     "SELECT r AS round, count(*) AS batch_count, CAST(sum(r * 1000 + i) AS BIGINT) AS value_sum FROM (SELECT unnest(range(0, 14)) AS r), (SELECT unnest(range(0, 40)) AS i) WHERE i % 2 = 0 AND i < [4, 4, 40, 40, 40, 4, 4][r % 7 + 1] GROUP BY r",
 )(lambda spark, d: events.round_summary(events.mark(events.even(files.rounds(spark, 14, streaming.LOADS)))))
 query("events_rounds", f"WITH {views.ROUNDS_SQL} SELECT round, count(*) AS batch_count, CAST(sum(v) AS BIGINT) AS value_sum FROM rounds GROUP BY round")(lambda spark, d: events.round_summary(views.rounds(spark, d)))
-query("autoscale_trace")(lambda spark, d: streaming.autoscale_frame(spark, [streaming.LOADS[r % 7] for r in range(14)], 1, 4))
+_AUTOSCALE = """WITH RECURSIVE loads AS (SELECT CAST(t AS BIGINT) AS tick, CAST([4, 4, 40, 40, 40, 4, 4][t % 7 + 1] AS BIGINT) AS load FROM (SELECT unnest(range(0, 14)) AS t)),
+t(tick, load, mean, width) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(1 AS BIGINT)
+  UNION ALL SELECT loads.tick, loads.load, 0.5 * mean + 0.5 * loads.load,
+    width + CAST(sign(least(4, greatest(1, ceil((0.5 * mean + 0.5 * loads.load) / 8))) - width) AS BIGINT) FROM t JOIN loads ON loads.tick = t.tick + 1)
+SELECT tick, load, width FROM t WHERE tick >= 0"""
+query("autoscale_trace", _AUTOSCALE)(lambda spark, d: streaming.autoscale_frame(spark, [streaming.LOADS[r % 7] for r in range(14)], 1, 4))
 
 # --- routing
 

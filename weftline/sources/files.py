@@ -24,6 +24,24 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     return text_lines(spark, path).select(F.monotonically_increasing_id().alias("seq"), "value")
 
 
+def _placed(lines: DataFrame, order: str) -> DataFrame:
+    """`lines` with before (bytes of the lines in front, each with its line end) and total."""
+    from weftline.operators.routing import running_bytes
+
+    return running_bytes(lines, (F.octet_length("value") + 1).cast("bigint"), order)
+
+
+def sliced(lines: DataFrame, low: float, high: float, order: str = "seq") -> DataFrame:
+    """The lines that begin in a window of the bytes, from `low` to `high` of all: slices side by side hold each line once."""
+    at = lambda x: F.floor(F.col("total") * F.lit(float(x))).cast("bigint")
+    return _placed(lines, order).where((F.col("before") >= at(low)) & (F.col("before") < at(high))).drop("before", "total")
+
+
+def chunked(lines: DataFrame, chunk_bytes: int, order: str = "seq") -> DataFrame:
+    """`lines` with their chunk: those that begin in the same window of `chunk_bytes`."""
+    return _placed(lines, order).withColumn("chunk", F.expr(f"before div {int(chunk_bytes)}")).drop("before", "total")
+
+
 def whole_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(path, payload): one record for each file, bytes untouched."""
     return spark.read.format("binaryFile").load(paths).select("path", F.col("content").alias("payload"))

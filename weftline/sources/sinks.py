@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.sources.files import cycled
 
+_WRITERS = ThreadPoolExecutor(4)
+
 
 def write_lines(df: DataFrame, path: str, column: str = "value", order: Sequence[str] = ()) -> int:
     """Records one per line, in `order` over all part files (range partitions, sorted within); returns how many."""
-    out = df.orderBy(*order) if order else df
-    out.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
-    return df.sparkSession.read.option("lineSep", "\n").text(path).count()
+    seen = Observation()
+    out = (df.orderBy(*order) if order else df).select(F.col(column).cast("string").alias("value"))
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("lineSep", "\n").text(path)
+    return seen.get["n"]
 
 
 def write_cycled(df: DataFrame, paths: Sequence[str], run: int, **kw) -> int:
@@ -49,12 +53,43 @@ def snapshot(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def snapshot_later(df: DataFrame, folder: str, name: str) -> Callable[[], DataFrame]:
+    """The snapshot is written while the caller goes on; what is returned waits for it and reads it."""
+    done = _WRITERS.submit(snapshot, df, folder, name)
+    return done.result
+
+
+def split_lines(lines: DataFrame, n: int, prefix: str, order: str = "seq") -> list[str]:
+    """`lines` (order, value) in n contiguous parts of about equal bytes, at prefix.0 to prefix.(n-1): a part ends with the line
+    that brings it to ceil(total / n) bytes. There are always n parts, some of them empty if the lines are few."""
+    from weftline.sources.files import _placed
+
+    if n < 1:
+        raise ValueError("a file is split in one part at least")
+    placed = _placed(lines, order).persist()
+    ends = placed.select(order, (F.col("before") + F.octet_length("value") + 1).alias("end"))
+    share = -(-(placed.agg(F.max("total")).first()[0] or 0) // n)
+    cuts, start = [], 0
+    for _ in range(n - 1):  # a part's end depends on the one before; each is a minimum over the cached column
+        end = ends.where(F.col("end") >= start + max(1, share)).agg(F.min("end")).first()[0]
+        if end is None:
+            break
+        cuts.append(end)
+        start = end
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("before"))) if cuts else F.lit(0)
+    paths = [f"{prefix}.{i}" for i in range(n)]
+    for i, path in enumerate(paths):
+        write_lines(placed.where(part == i), path, order=(order,))
+    placed.unpersist()
+    return paths
+
+
 def watch(df: DataFrame, path: str, order: str = "seq", origin: str = "origin", payload: str = "payload") -> None:
     """A readable dump: `[  i][src=o] record` for each record in order."""
     from pyspark.sql import Window as W
 
     i = F.row_number().over(W.orderBy(order)) - 1  # a debugging aid for small slots: one partition
-    line = F.concat(F.lit("["), F.lpad(i.cast("string"), 3, " "), F.lit("][src="), F.col(origin).cast("string"), F.lit("] "), F.col(payload).cast("string"))
+    line = F.concat(F.lit("["), F.when(i < 1000, F.lpad(i.cast("string"), 3, " ")).otherwise(i.cast("string")), F.lit("][src="), F.col(origin).cast("string"), F.lit("] "), F.col(payload).cast("string"))
     write_lines(df.select(F.col(order), line.alias("value")), path, order=(order,))
 
 

@@ -6,7 +6,6 @@ Stages of a round are chained transformations; running them one round apart is S
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -32,7 +31,12 @@ def chain(df: DataFrame, stages: Sequence[Stage], width: int = 1) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder under the session's checkpoint folder, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="weftline-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -67,7 +71,7 @@ def chunked_word_count(spark: SparkSession, parquet: str, files_per_batch: int =
     from weftline.operators import text
 
     schema = spark.read.parquet(parquet).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(parquet if os.path.isdir(parquet) else parquet + "*")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(parquet + "*")
     home = scratch(spark, "chunked")
 
     def keep(df: DataFrame, batch: int) -> None:
