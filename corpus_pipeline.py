@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
 `documents`. A stage works on what its predecessor kept, written as Parquet and read again.
+
+Every stage takes texts whole, however long, passes columns it does not know on unchanged (the last one leaves them out),
+and gives no rows for an empty table. What nulls, empty texts, repeated rows and ties give is said for each.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from weftline.llm.common import written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; the others stay unchanged."""
+    """Documents that the classifier rejects go; the others stay unchanged. A null text is scored as an empty one and stays
+    null; repeated rows stay or go together; a score that equals the threshold stays."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -35,13 +39,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret becomes [SECRET]; n_chars follows."""
+    """Every secret becomes [SECRET]; n_chars follows. Null and empty texts stay as they are (n_chars null and 0), repeated
+    rows change alike, overlapping secrets become one mark."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens in as few sequences as best-fit decreasing makes."""
+    """Pieces of at most 4096 tokens in as few sequences as best-fit decreasing makes. A null or empty text is its end alone;
+    repeated rows are packed each for itself; pieces of equal length take each other's places in any order."""
     return packing.pack(docs)
 
 
