@@ -8,6 +8,9 @@ import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: later jobs start from the files,
     which outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +47,21 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", most: int = 100_000) -> DataFrame:
+    """left.join(right, on, how) for a `right` with one row for each key: a key that very many rows of `left` hold
+    meets them where they are. More than `most` rows, and more than a thousandth of them all, make a key hot; so at
+    most 1,000 rows are broadcast. Both sides are read more than once: written tables. Null keys find nothing."""
+    if (n := left.count()) <= most:
+        return left.join(right, on, how)
+    hot = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > max(most, n // 1000)).select(on)
+    hot = written(hot, "hot")
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    of_hot = right.join(F.broadcast(hot), on, "left_semi")
+    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
+    return rest.unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(of_hot), on, how))
+
+
 @contextmanager
 def tidy(spark: SparkSession):
     """Shuffle files of a finished query go at once, not when the driver next collects its garbage."""
@@ -77,6 +95,16 @@ def pieces(texts: list[bytes | None], at_most: int = 4_000_000) -> Iterator[tupl
         yield start, len(texts)
 
 
+def text_pieces(column: pa.Array, at_most: int = 1_500_000) -> Iterator[tuple[int, list[bytes | None]]]:
+    """First row and texts of pieces of a binary column that hold about `at_most` bytes: no more leave the batch at once."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = 0
+    while start < len(sizes):
+        stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start : start + 100_000]), at_most, "right")))
+        yield start, column.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 _HOLDERS: dict[str, Callable[[], None]] = {}
 
 
