@@ -102,3 +102,51 @@ def test_linked_sets_share_a_signature():
             shared = len(np.intersect1d(a, b))
             if 100 * shared >= 90 * (len(a) + len(b) - shared):
                 assert set(ngram_join.signatures(a, 90).tolist()) & set(ngram_join.signatures(b, 90).tolist())
+
+
+def test_unrelated_sets_share_no_signature():
+    """4,000 sets of 1,000 shingles with nothing in common, and smaller ones: an empty part brings none together."""
+    rng = np.random.default_rng(6)
+    for size, many in ((1000, 4000), (300, 2000), (12, 2000)):
+        seen, shared = set(), 0
+        for _ in range(many):
+            own = set(ngram_join.signatures(np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2)), 90).tolist())
+            shared += bool(own & seen)
+            seen |= own
+        assert not shared
+
+
+def test_sets_with_many_weak_parts_are_parted_again():
+    """No link is lost where parts have to be weak: all hashes of a set lie in a few parts."""
+    rng = np.random.default_rng(7)
+    for size in (12, 60, 400):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 40, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: len(a) - size // 25], rng.integers(0, 1 << 40, size // 25).astype(np.uint64)]))
+            assert set(ngram_join.signatures(a, 90).tolist()) & set(ngram_join.signatures(b, 90).tolist())
+            assert set(ngram_join.signatures(a, 90, 1).tolist()) & set(ngram_join.signatures(b, 90, 1).tolist())
+
+
+def test_a_hot_signature_costs_a_row_for_each_run(spark):
+    ids = [i.to_bytes(8, "big") + bytes(8) for i in range(1, 2001)]
+    mark = np.array([77], np.int64).tobytes()
+    rows = spark.createDataFrame([(i, mark) for i in ids] + [(ids[0], None)], "sid binary, signatures binary").repartition(3)
+    edges = [(r.a, r.b) for r in ngram_join._chained(rows).collect()]
+    assert len(edges) == 1999
+    parent = {i: i for i in range(1, 2001)}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    assert len({root(i) for i in parent}) == 1
+
+
+def test_very_long_text_is_taken_whole(spark):
+    long = " ".join(f"t{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "t0 t1 t2 t3 t4 t5")]
+    got = {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (59_996, 1, 1), 2: (59_997, 1, 1), 3: (2, 0, 3)}

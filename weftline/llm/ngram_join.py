@@ -4,7 +4,8 @@
    sets are one class from here on.
 2. Two sets that are to link differ in few shingles. If hashes are cut into one part more than that number,
    the sets agree on some part as a whole; so classes are brought together by the signatures of
-   their parts, and no link is lost. Passages that many documents share fill no part by themselves. Classes
+   their parts, and no link is lost. Empty parts and parts of one shingle are not signed; a few more parts
+   make up for them. Passages that many documents share fill no part by themselves. Classes
    of one signature are chained (a signature costs its occurrences, not their pairs); connected chains are
    clusters, and all links lie inside clusters.
 3. Only the clusters' sets travel. Within a cluster (or a pair of its blocks) the globally ordered sets stand in a
@@ -25,22 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import claim, pieces, written
+from weftline.llm.common import dropped, pieces, spread_join, tidy, written
 from weftline.llm.components import components
 
 MARKS = 1 << 27
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_000_000
-_HASHES: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; a worker remembers some hundred thousand of them."""
-    claim("word hashes", _HASHES.clear)
-    if len(_HASHES) > 250_000:
-        _HASHES.clear()
-    for w in set(words).difference(_HASHES):
-        _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of words. To look them up among remembered ones takes longer than to make them."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,11 +80,22 @@ def intervals(t: int, most: int = 1 << 40) -> list[tuple[int, int]]:
 
 
 @lru_cache(4)
-def _plan(t: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Lows and highs of the intervals, and how many parts each takes: one more than two sets of these sizes
-    may differ by, which is (100 - t) / (100 + t) of their sizes' sum."""
-    both = intervals(t)
-    return np.array([a for a, _ in both]), np.array([b for _, b in both]), [2 * b * (100 - t) // (100 + t) + 1 for _, b in both]
+def _plan(t: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Lows and highs of the intervals, and for each (parts, spare, least): two sets of these sizes may differ by
+    (100 - t) / (100 + t) of their sizes' sum, so of one part more than that they agree on one. Parts of fewer than
+    `least` shingles say too little to bring sets together; `spare` more parts stand in for that many of them."""
+    both, plans = intervals(t), []
+    for low, high in both:
+        d, least, spare = 2 * high * (100 - t) // (100 + t), 2, 0
+        while d:  # spare weak parts: their number in the smallest sets of the interval, and three deviations
+            parts = d + spare + 1
+            log_none = low * np.log1p(-1 / parts)
+            weak = parts * (np.exp(log_none) + low / parts * np.exp(log_none - np.log1p(-1 / parts)))
+            if (need := int(weak + 3 * np.sqrt(weak))) <= spare:
+                break
+            spare = need
+        plans.append((d + spare + 1, spare, least if d else 0))
+    return np.array([a for a, _ in both]), np.array([b for _, b in both]), plans
 
 
 @lru_cache(256)
@@ -97,16 +103,31 @@ def _cuts(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
 
 
-def signatures(s: np.ndarray, t: int) -> np.ndarray:
-    """A hash for each part of the set: for the interval of its size, and for the next one if a partner may lie there."""
-    low, high, parts = _plan(t)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(s))])
+def signatures(s: np.ndarray, t: int, tries: int = 8) -> np.ndarray:
+    """A hash for each part of the set that says enough: for the interval of its size, and for the next one if a
+    partner may lie there.
+
+    A pair in which either set has at most `spare` weak parts agrees on a part that is not weak. Where a set has
+    more, it is parted once more by other hashes, as its partners with too many are; the last time every part
+    counts. So no link is lost, and sets that share nothing but an empty part don't meet.
+    """
+    low, high, plans = _plan(t)
     at = int(np.searchsorted(high, len(s)))
     out = []
     for b in (at, at + 1) if 100 * len(s) >= t * int(low[at + 1]) else (at,):
-        bounds = np.concatenate([[0], np.searchsorted(s, _cuts(parts[b])), [len(s)]])
-        inside = sums[bounds[1:]] - sums[bounds[:-1]]
-        out.append(_mix(_mix(inside + np.uint64((b + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) + np.arange(parts[b], dtype=np.uint64)))
+        parts, spare, least = plans[b]
+        for k in range(tries):
+            x = np.sort(_mix(s + np.uint64(k * 0xD1B54A32D192ED03 % (1 << 64)))) if k else s
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(x))])
+            bounds = np.concatenate([[0], np.searchsorted(x, _cuts(parts)), [len(x)]])
+            strong = np.flatnonzero(np.diff(bounds) >= least)
+            enough = parts - len(strong) <= spare
+            if not enough and k == tries - 1:
+                strong = np.arange(parts)
+            inside = sums[bounds[strong + 1]] - sums[bounds[strong]]
+            out.append(_mix(_mix(inside + np.uint64((k * 1024 + b + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) + strong.astype(np.uint64)))
+            if enough:
+                break
     return np.concatenate(out)
 
 
@@ -170,57 +191,85 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None, t: int)
             todo.append((list(child), down, vector))
 
 
-def _digests(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, sid) for each document."""
+def short(d: bytes) -> int:
+    """Eight bytes of a digest: enough to name a class while clusters are made, where a clash only merges two."""
+    return int.from_bytes(d[:8], "big", signed=True)
+
+
+class _Seen(set):
+    """Digests that a task has met lately: no more than some hundred thousand are remembered."""
+
+    def first(self, d: bytes) -> bool:
+        if d in self:
+            return False
+        if len(self) > 200_000:
+            self.clear()
+        self.add(d)
+        return True
+
+
+def _digests(docs: DataFrame, n: int, t: int) -> DataFrame:
+    """(doc_id, n_shingles, sid, signatures) for each document; the signatures once for a class, or a few times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
-            size, sid = [], []
+            size, sid, signed = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 size.append(len(s))
                 sid.append(digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sid, pa.binary())], ["doc_id", "n_shingles", "sid"])
+                signed.append(signatures(s, t).tobytes() if len(s) and seen.first(sid[-1]) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sid, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "sid", "signatures"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sid binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sid binary, signatures binary")
 
 
-def short(d: bytes) -> int:
-    """Eight bytes of a digest: enough to name a class while clusters are made, where a clash only merges two."""
-    return int.from_bytes(d[:8], "big", signed=True)
-
-
-def _signatures(docs: DataFrame, n: int, t: int) -> DataFrame:
-    """(signature, id): each class's once for each task that has it."""
+def _chained(rows: DataFrame, at_once: int = 2_000_000) -> DataFrame:
+    """(a, b): the classes of one signature, one after the other. A task chains what it has, so that a
+    signature costs a row for each of its runs in the shuffle, however many classes bear it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        found: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            mark, of = np.concatenate(found), np.concatenate(ids)
+            order = np.argsort(mark, kind="stable")
+            mark, of = mark[order], of[order]
+            again = np.concatenate([[False], mark[1:] == mark[:-1]])
+            a = of[np.maximum(np.flatnonzero(again) - 1, 0)]
+            b = of[again]
+            edge = _mix(_mix(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)  # a mark of its own
+            other = pa.concat_arrays([pa.nulls(int((~again).sum()), pa.int64()), pa.array(a)])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([mark[~again], edge])), pa.array(np.concatenate([of[~again], b])), other], ["signature", "id", "other"])
+
         for batch in batches:
-            found, ids, per = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), n):
-                if len(s) and (i := short(digest(s))) not in done:
-                    done.add(i)
-                    found.append(signatures(s, t))
-                    ids.append(i)
-                    per.append(len(found[-1]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), per))], ["signature", "id"])
+            for d, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found.append(np.frombuffer(blob, np.int64))
+                ids.append(np.full(len(found[-1]), short(d), np.int64))
+            if sum(map(len, found)) > at_once:
+                yield out()
+                found, ids = [], []
+        if found:
+            yield out()
 
-    return docs.mapInArrow(run, "signature long, id long")
+    runs = rows.where("signatures is not null").select("sid", "signatures").mapInArrow(run, "signature long, id long, other long")
+    before = F.lag("id").over(W.partitionBy("signature").orderBy("id"))
+    return runs.select(F.coalesce("other", before).alias("a"), F.col("id").alias("b")).where("a <> b")
 
 
 def _sets(docs: DataFrame, n: int, marks) -> DataFrame:
-    """(sid, shingles) for marked digests, once for each task that has one."""
+    """(sid, shingles) for marked digests, once for each task that has one, or a few times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[bytes] = set()
+        seen = _Seen()
         for batch in batches:
             sid, blob = [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 if len(s):
                     d = digest(s)
                     m = short(d) % (1 << 64) % MARKS
-                    if marks.value[m >> 3] >> (m & 7) & 1 and d not in done:
-                        done.add(d)
+                    if marks.value[m >> 3] >> (m & 7) & 1 and seen.first(d):
                         sid.append(d)
                         blob.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(blob, pa.binary())], ["sid", "shingles"])
@@ -311,19 +360,20 @@ def similar(docs: DataFrame, t: int = 90, n: int = 5, doc_id: str = "doc_id", te
 
     Two documents link when 100 * shared >= t * union of their sets of n-word shingles (a document of fewer
     words has its whole sequence as its one shingle). n_similar counts the other documents linked directly, copies
-    included; component_id is the least doc_id reachable by links, itself included. A null or blank text
+    included; component_id is the least doc_id reachable by links, itself included. Texts of any length are taken whole. A null or blank text
     has no shingles and links with nothing. Rows that repeat an id count as documents of their own; null ids
     take part and get the least known id of their component, or null. Other columns are ignored; an empty
     table gives no rows. Shingles are compared by 64-bit hashes, sets by 128-bit digests.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = written(_digests(source, n), "digests")
-    classes = written(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("many"), F.min("doc_id").alias("first"), F.first("n_shingles").alias("n")), "classes")
+    with tidy(docs.sparkSession):
+        return _similar(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")), t, n)
 
-    chained = _signatures(source, n, t).withColumn("before", F.lag("id").over(W.partitionBy("signature").orderBy("id")))
-    edges = chained.where(F.col("before") != F.col("id")).select(F.col("before").alias("a"), F.col("id").alias("b"))
-    clusters = written(components(edges), "clusters")
+
+def _similar(source: DataFrame, t: int, n: int) -> DataFrame:
+    spark = source.sparkSession
+    rows = written(_digests(source, n, t), "digests")
+    classes = written(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("many"), F.min("doc_id").alias("first"), F.first("n_shingles").alias("n")), "classes")
+    clusters = written(components(_chained(rows)), "clusters")
 
     marks = spark.sparkContext.broadcast(_marks(clusters))
     named = classes.withColumn("node", F.expr("cast(conv(hex(substring(sid, 1, 8)), 16, -10) as bigint)"))
@@ -341,6 +391,6 @@ def similar(docs: DataFrame, t: int = 90, n: int = 5, doc_id: str = "doc_id", te
     firsts = hubs.join(classes, hubs.node == classes.sid).groupBy("component").agg(F.min("first").alias("component_id"))
     known = hubs.join(firsts, "component").select(F.col("node").alias("sid"), "component_id").join(links, "sid")
     per_class = classes.join(known, "sid", "left").select("sid", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("component_id", "first").alias("component_id"))
-    # few rows carry a digest that others share: the join is by class, and classes are not rows
-    out = rows.join(per_class, "sid", "left")
+    out = spread_join(rows.drop("signatures"), written(per_class, "links_of"), "sid", "left")
+    dropped(clusters, linked, hubs)
     return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
