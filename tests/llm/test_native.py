@@ -1,10 +1,13 @@
 """URL filters, secret scans and fingerprints against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import string
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import components, fingerprints, secrets, url_filter
@@ -57,11 +60,86 @@ def test_secrets(spark):
             assert clean[i] == out + t[at:]
 
 
-def test_battery_spreads_over_random_strings(spark):
+def twin(text, enc):
+    """The battery in plain Python."""
+    _, kind, signs, _ = secrets.ENCODINGS[enc]
+    n, m = len(text), len(signs)
+    normal = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    expected, seen = Counter(secrets.bin_of(c, kind) for c in signs), Counter(secrets.bin_of(c, kind) for c in text)
+    chi, df = sum((seen[k] - n * e / m) ** 2 / (n * e / m) for k, e in expected.items()), len(expected) - 1
+    p = [0.5 * math.erfc(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)) / math.sqrt(2))]
+    share = [k / m for k in Counter(map(secrets.case_of, signs)).values()]
+    change = 1 - sum(q * q for q in share)
+    changes = sum(secrets.case_of(a) != secrets.case_of(b) for a, b in zip(text, text[1:]))
+    var = (n - 1) * change * (1 - change) + 2 * (n - 2) * (sum(q**3 for q in share) - (1 - change) ** 2)
+    p.append(normal((changes - (n - 1) * change) / math.sqrt(var)))
+    v = [float(c.lower() in "aeiou") for c in text]
+    mean = sum(v) / n
+    square = sum((x - mean) ** 2 for x in v)
+    p.append(normal(sum((x - mean) * (y - mean) for x, y in zip(v, v[1:])) / square * math.sqrt(n)) if square else 0.3)
+    half = -sum(math.log(max(x, 1e-300)) for x in p)
+    return min(1.0, math.exp(-half) * (1 + half + half * half / 2))
+
+
+def test_battery_equals_its_twin_and_spreads_over_random_strings(spark):
     rng = random.Random(6)
-    rows = [([rng.randrange(64) for _ in range(40)],) for _ in range(3000)]
-    p = [r.p for r in spark.createDataFrame(rows, "v array<int>").select(secrets.battery(F.col("v"), F.lit(64)).alias("p")).collect()]
-    assert 0.02 < sum(x < 0.05 for x in p) / len(p) < 0.09
+    rows = []
+    for enc, (_, _, signs, _) in enumerate(secrets.ENCODINGS):
+        rows += [("".join(rng.choices(signs, k=rng.choice([16, 17, 25, 40, 90]))), enc) for _ in range(300)]
+        rows += [(signs[0] * 20, enc), (signs[0] * 16 + signs[-1] * 16, enc)]
+    got = spark.createDataFrame(rows, "t string, enc int").select("t", "enc", secrets.battery(F.col("t"), F.col("enc")).alias("p")).collect()
+    for r in got:
+        assert abs(r.p - twin(r.t, r.enc)) < 1e-5, r
+    for enc in range(len(secrets.ENCODINGS)):
+        p = [r.p for r in got if r.enc == enc][:300]
+        assert 0.01 < sum(x < 0.05 for x in p) / len(p) < 0.11
+
+
+WORDS = "service audio beta stream user account file path index data table image video cache build config test server client network module system error value number object method return public static default message request handler manager factory provider context session list item node tree graph map queue buffer reader parser format date time zone month hour second start first next open read write update create select order group page count total".split()
+
+
+def put_together(rng, kind, n):
+    """An identifier, a path or a slug of n signs, with a number."""
+    s = ""
+    while len(s) < n:
+        w = rng.choice(WORDS)
+        s += w.capitalize() if kind == "camel" else rng.choice([w, w.capitalize()]) + ("/" if kind == "path" else "-")
+    d = str(rng.randrange(10 ** rng.randrange(1, 5)))
+    return (s[: n - len(d)] + d)[:n]
+
+
+def test_strings_put_together_from_words_are_not_reported_and_random_ones_are(spark):
+    rng = random.Random(9)
+    b62 = string.ascii_letters + string.digits
+    rows = [(kind, put_together(rng, kind, rng.choice([16, 18, 20, 24, 30, 40]))) for kind in ("camel", "path", "slug") for _ in range(300)]
+    rows += [(f"random{n}", "".join(rng.choices(b62, k=n))) for n in (20, 24, 32, 40) for _ in range(100)]
+    rows += [("short", "".join(rng.choices(b62, k=15))) for _ in range(20)]
+    docs = spark.createDataFrame([(i, f"see {t}, then") for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = Counter(rows[r.doc_id][0] for r in secrets.digest(docs).collect() if "random" in r.spans)
+    assert all(found[kind] <= 0.03 * 300 for kind in ("camel", "path", "slug")), found
+    assert sum(found[k] for k in ("camel", "path", "slug")) <= 0.05 * sum(found.values())
+    assert found["random20"] >= 85 and min(found[f"random{n}"] for n in (24, 32, 40)) >= 93 and not found["short"], found
+
+
+def test_null_holds_for_strings_put_together():
+    """NULL bounds what the twin finds over other words than those it was made with, by length."""
+    rng = random.Random(10)
+    for n in (16, 20, 24, 32):
+        p = []
+        while len(p) < 1500:
+            t = put_together(rng, "camel", n)
+            if any(c.isdigit() for c in t):
+                p.append(twin(t, 5))
+        for k, point in enumerate(secrets.GRID[:3]):
+            bound = 10 ** (secrets.NULL["mixed"][0][k] - (n - secrets.LEAST) * secrets.NULL["mixed"][1][k])
+            assert sum(x > point for x in p) / len(p) <= 2 * bound + 0.003, (n, point)
+
+
+def test_very_long_text_of_many_secrets(spark):
+    t = " ".join(f"token={i:08d}abcdef é" for i in range(5000)) + " tail " + "x" * 200_000
+    row = secrets.digest(spark.createDataFrame([(1, t), (2, t[:100])], "doc_id long, text string")).where("doc_id = 1").first()
+    want = base_spans(t)
+    assert row.n_assign == 5000 == len(want) and row.base_sha256 == SHA(",".join(f"assign:{a}:{b}" for a, _, b in want))
 
 
 def test_urls(spark):
@@ -104,6 +182,29 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
+def test_urls_with_links_equal_sql(spark, tmp_path):
+    """Chains, hubs, relative targets, repeated pages and clashing rules: the SQL finds components by itself."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(12)
+    hosts = ["a.net", "b.example.org", "C.com", "www.d.com", "e.org:80", "f.net"]
+    url = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}/{rng.choice(['de', 'fr', 'en', 'es', 'x'])}/{rng.randrange(30)}{rng.choice(['', '', '?q=1&amp;r=2', '#top'])}"
+    rows = []
+    for i in range(260):
+        tags = []
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            t = rng.choice([url(), url(), f"/de/{rng.randrange(30)}", f"{rng.randrange(30)}", "//a.net/x/3", ""])
+            tags.append(rng.choice([f'<link rel="canonical" href="{t}">', f"<LINK href='{t}' rel=canonical>", f'<meta http-equiv="refresh" content="0; url={t}">']))
+        rows.append((i, rng.choice([url(), url(), url(), None, "nothing"]), rng.choice([None, "<p>" + "".join(tags) + "y" * 20, "".join(tags)])))
+    rows += [(300 + i, f"http://leaf.net/{i}", '<link rel=canonical href="http://hub.com/de/0">') for i in range(60)] + rows[:3]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "pages.parquet")
+    pages.toPandas().to_parquet(path)
+    got = sorted(tuple(map(str, r)) for r in url_filter.filter_urls(pages).collect())
+    want = sorted(tuple(map(str, r)) for r in duckdb.connect().execute(url_filter.ORACLE.replace("FROM pages", f"FROM '{path}' pages")).fetchall())
+    assert got == want
+    assert sum(g[4] == "block" and g[3] == "None" for g in got) > 60 and sum(g[5] != "None" for g in got) > 100
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, i) for i in range(5001, 5300)] + [(None, 3), (7, 7)]
@@ -123,6 +224,16 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Two hubs that share a neighbour, of 100,000 and 30,000, with chains at their leaves."""
+    monkeypatch.setattr(components, "HUB", 1000)
+    hub = lambda centre, first, n: spark.range(first, first + n).selectExpr(f"{centre}L AS a", "id AS b")
+    chain = spark.range(200_000, 200_050).selectExpr("id AS a", "id + 1 AS b").union(spark.createDataFrame([(200_000, 150_000)], "a long, b long"))
+    edges = hub(5, 100_000, 100_000).union(hub(900_000, 199_990, 30_000)).union(chain).union(hub(7, 8, 3))
+    got = components.components(edges)
+    assert {r.component: r.n for r in got.groupBy("component").count().withColumnRenamed("count", "n").collect()} == {5: 129_992, 7: 4}
+
+
 def check_edits(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars string")
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.functions.layout import spread
 from weftline.llm import fingerprints, language_model, near_vectors, ngram_join, oracles, packing, quality, secrets, token_counts, trie_bpe, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def queries() -> dict:

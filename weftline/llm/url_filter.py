@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm.common import spread_join, written
 from weftline.llm.components import components
 
 #: (verdict, host, path)
@@ -84,7 +84,7 @@ def filter_urls(
 
     `redirects` (source, target) adds redirects known from fetching. `component` is the least url key of
     the page's class (null for a page that is linked with none). A null url, or one without ://, has
-    empty host and path, fits no rule and gets `default`; null html has no links; repeated rows each
+    empty host and path, fits no rule and gets `default`; null html has no links, very long html is searched whole; repeated rows each
     give a row; an empty table gives none. Other columns are ignored.
     """
     links = [link_edges(pages, url, html)] if html else []
@@ -104,20 +104,44 @@ def filter_urls(
             ruled = nodes.join(classes, "node").groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("allowed"), F.bool_or(F.col("verdict") == "block").alias("blocked"))
             said = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("class_verdict")
             known = classes.join(ruled, "component").select(F.col("node").alias("key"), "component", said)
-            none = base.join(known, "key", "left")
+            none = spread_join(base, written(known, "known"), "key", "left")  # very many pages may share one url
     return none.select("page_id", "host", "path", "rule", F.coalesce("own", "class_verdict", F.lit(default)).alias("verdict"), "component")
 
 
-ORACLE = """
-WITH parts AS (
-  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages
-), rules(verdict, h, p) AS (
+_HOST = "translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_REST = "regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+_KEY = f"{_HOST} || CASE WHEN starts_with({_REST}, '/') THEN '' ELSE '/' END || {_REST}"
+_BEST = "(SELECT max_by({what}, length(h || p)) FROM rules WHERE ({host} = h OR ends_with({host}, '.' || h)) AND starts_with({path}, p))"
+_QUOTE = "[\"'']?"
+
+ORACLE = rf"""
+WITH RECURSIVE rules(verdict, h, p) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
-), fits AS (
-  SELECT *, (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM parts
+), parts AS (
+  SELECT page_id, url, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path, CASE WHEN contains(url, '://') THEN {_KEY.format(u="url")} END AS key FROM pages
+), own AS (
+  SELECT *, {_BEST.format(what="h || p", host="host", path="path")} AS rule, {_BEST.format(what="verdict", host="host", path="path")} AS said FROM parts
+), told AS (
+  SELECT url, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*{_QUOTE}canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*{_QUOTE}([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*{_QUOTE}refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*{_QUOTE}([^"''\s>]+)', 1))
+  )) AS t FROM pages WHERE contains(url, '://')
+), clean AS (
+  SELECT url, trim(replace(t, '&amp;', '&')) AS t, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) AS folder FROM told
+), links AS (
+  SELECT url AS source, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || t
+    WHEN starts_with(t, '/') THEN site || t ELSE folder || CASE WHEN ends_with(folder, '/') THEN '' ELSE '/' END || t END AS target FROM clean WHERE t <> ''
+), ends AS (SELECT source AS u FROM links UNION SELECT target FROM links
+), nodes AS (
+  SELECT key, bool_or(said = 'allow') AS allowed, bool_or(said = 'block') AS blocked
+  FROM (SELECT {_KEY.format(u="u")} AS key, {_BEST.format(what="verdict", host=_HOST.format(u="u"), path=_PATH.format(u="u"))} AS said FROM ends) GROUP BY key
+), edges AS (SELECT {_KEY.format(u="source")} AS a, {_KEY.format(u="target")} AS b FROM links
+), twoway AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b
+), reach(n, r) AS (SELECT a, a FROM twoway UNION SELECT reach.n, twoway.b FROM reach JOIN twoway ON twoway.a = reach.r
+), comps AS (SELECT n, min(r) AS component FROM reach GROUP BY n
+), classes AS (SELECT component, bool_or(coalesce(allowed, false)) AS allowed, bool_or(coalesce(blocked, false)) AS blocked FROM comps JOIN nodes ON nodes.key = n GROUP BY component
 )
-SELECT page_id, host, path, fits.rule AS rule, coalesce(rules.verdict, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS component
-FROM fits LEFT JOIN rules ON h || p = fits.rule
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict, component
+FROM own LEFT JOIN comps ON comps.n = own.key LEFT JOIN classes USING (component)
 """
