@@ -117,7 +117,8 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of
     the next document in ascending doc_id; after the last comes the first. Null texts count as empty.
     Null ids (which count as one lowest id) come first; rows of one id follow each other by text. A lone
-    document is its own next one. An empty table gives no rows. doc_id must be an integer.
+    document is its own next one. An empty table gives no rows. Texts of any length are taken whole, other columns are ignored.
+    doc_id must be an integer.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     placed, window = with_next(rows, "doc_id", "_text")

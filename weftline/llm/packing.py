@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm import chunks
-from weftline.llm.common import written
+from weftline.llm.common import text_pieces, written
 
 PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -120,8 +120,8 @@ def cut(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str |
         step = 4 * capacity
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for a in range(0, batch.num_rows, 512):
-                words = [(t or b"").split() for t in batch.column(1).slice(a, 512).to_pylist()]
+            for a, texts in text_pieces(batch.column(1)):
+                words = [(t or b"").split() for t in texts]
                 memo.learn(words)
                 get = memo.__getitem__
                 for i, ws in enumerate(words, a):
@@ -147,7 +147,7 @@ def assign(parts: DataFrame, capacity: int = 4096, salts: int | None = None) ->
 
     `parts` must be cheap and stable to read twice (a written table). Ranks within a length are counted
     in `salts` groups by a hash of the row, whose sizes are added up first: at most capacity * salts
-    numbers, 200 for each of the shuffle's partitions by default.
+    numbers. By default there are 2 for each of the shuffle's partitions, and at most 1,000.
     """
     spark = parts.sparkSession
     salts = salts or max(1, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))
@@ -180,7 +180,8 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents longer than `capacity` are cut. A null or empty text holds its end id alone; repeated
-    rows are packed each for itself; an empty table gives no rows. Other columns are ignored.
+    rows are packed each for itself, pieces of equal length in any order; an empty table gives no rows. Texts of any length
+    are taken whole. Other columns are ignored.
     """
     parts = written(cut(docs, capacity, end_id, tokenizer, doc_id, text), "pieces")
     return assign(parts, capacity)

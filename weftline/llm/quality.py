@@ -9,16 +9,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import claim, crc_bucket
+from weftline.llm.common import claim, crc_bucket, text_pieces
 
 BUCKETS = 1 << 16
 #: structure and metadata features, after the words
@@ -181,39 +181,37 @@ def _by_id(chosen: DataFrame) -> dict:
     return out
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), folds: int = 5) -> DataFrame:
-    """(doc_id, *keep, held_out, score, predicted) for each row; null texts count as empty, which are scored too.
+def scores(texts: pa.Array, m: Machine) -> Iterator[np.ndarray]:
+    """The machine's scores, for texts of some megabytes at a time; a null text is empty."""
+    for _, some in text_pieces(texts):
+        some = [t or b"" for t in some]
+        words = [t.split() for t in some]
+        _learn(chain.from_iterable(words))
+        sets = [features(t, ws) for t, ws in zip(some, words)]
+        for k in range(0, len(sets), 256):
+            yield m.score(sets[k : k + 256])
 
-    held_out: crc32 of the id as text is divisible by `folds` (a null id: of empty text). Only the text is scored.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # a fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+def scored(machine: Machine, spark) -> Callable[[Column], Column]:
+    """A column function from texts to scores. Only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(machine)  # a fixed size
+
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            scores = [np.zeros(0)]
-            for a in range(0, batch.num_rows, 512):
-                texts = [t or b"" for t in batch.column(0).slice(a, 512).to_pylist()]
-                words = [t.split() for t in texts]
-                _learn(chain.from_iterable(words))
-                sets = [features(t, ws) for t, ws in zip(texts, words)]
-                for k in range(0, len(sets), 256):
-                    scores.append(m.score(sets[k : k + 256]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(scores), pa.float64())], names)
-
-    names = ["_id", *[f"_k{i}" for i in range(len(keep))], "score"]
-    source = docs.select(F.col(text).cast("binary").alias("_text"), F.col(doc_id).alias("_id"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*source.schema.fields[1:], T.StructField("score", T.DoubleType())])
-    out = source.mapInArrow(run, schema)
-    return out.select(
-        F.col("_id").alias("doc_id"),
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
-        (crc_bucket(F.col("_id"), folds) == 0).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
-    )
+            yield pa.array(np.concatenate([np.zeros(0), *scores(batch, shared.value)]), pa.float64())
+
+    return lambda text: of(text.cast("binary"))
+
+
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", folds: int = 5) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row; null texts count as empty, which are scored too.
+
+    held_out: crc32 of the id as text is divisible by `folds` (a null id: of empty text). Only the text is scored, whole,
+    however long. Other columns are ignored.
+    """
+    out = docs.select(F.col(doc_id).alias("doc_id"), scored(machine, docs.sparkSession)(F.col(text)).alias("score"))
+    return out.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 6000, threshold: float = 0.3) -> DataFrame:
@@ -224,7 +222,4 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = 6000, threshold: fl
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = 6000, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` that the classifier doesn't reject, with their columns unchanged."""
-    machine = train(docs, labels, most)
-    whole = docs.select(F.col("text").alias("text"), F.lit(None).cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"))
-    kept = score(whole, machine, threshold, keep=("row",)).where("predicted = 1")
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return docs.where(scored(train(docs, labels, most), docs.sparkSession)(F.col("text")) >= threshold)
