@@ -210,3 +210,32 @@ def test_split_and_merge_from_the_command_line(spark, tmp_path):
     assert run("split", "x").returncode == 2
     assert len(sinks.split_lines(files.ordered_lines(spark, str(tmp_path / "in.txt")), 60, str(tmp_path / "few"))) == 60
     assert sum(len(lines(str(tmp_path / f"few.{i}"))) for i in range(60)) == 50
+
+
+def test_capacity_affinity_and_copies():
+    hosts = [{"cpu": 0.9, "running": 1, "memory": 8e9, "cores": 8}, {"cpu": 0.1, "memory": 2e9, "migrations": 50, "cores": 4}, {"cores": 0}]
+    assert placement.load(hosts) == pytest.approx([0.3 * 0.9 + 0.25 + 0.2, 0.03 + 0.05 + 0.1, 0])
+    assert sum(placement.capacities(hosts)) == pytest.approx(1) and placement.capacities(hosts)[2] == max(placement.capacities(hosts))
+    assert placement.limits(hosts) == [1, 3, 1] and placement.least_loaded(hosts, 2) == [2, 1]
+    node = lambda i, deps=(), **params: spec.Node(i, "func", params, deps)
+    chain = [node("a", host=1), node("b", ("a",)), node("c", ("b",)), node("d", ("a",))]
+    assert placement.assign(chain, [0.2, 0.8], [9, 9]) == {"a": 1, "b": 1, "c": 1, "d": 1}
+    # two a host: b and c stay with what they read; an edge to avoid outweighs two others
+    assert placement.assign([node("x", host=0), node("y", host=1), *chain[1:]], [0.5, 0.5], [2, 2])["b"] in (0, 1)
+    pulled = [node("p", host=0, split="avoid"), node("q", host=1), node("r", host=1), node("s", ("p", "q", "r")), node("t", ("q", "r"))]
+    assert placement.assign(pulled, [0.5, 0.5], [1, 1]) == {"p": 0, "q": 1, "r": 1, "s": 0, "t": 1}
+    assert placement.on_all_hosts([node("in", placement="all"), node("m", ("in",), placement="all"), node("sum", ("m",))], 2) == [
+        ("in@0", 0, ()), ("in@1", 1, ()), ("m@0", 0, ("in@0",)), ("m@1", 1, ("in@1",)), ("sum", 0, ("m@0", "m@1")),
+    ]
+
+
+def test_fan_outs_are_freed_after_their_users(spark):
+    nodes = [
+        {"id": "a", "kind": {"OwnedDispatch": {"items": ["x", "y"], "fanout": 2, "cache": True}}},
+        {"id": "b", "deps": ["a"], "kind": {"Func": {"func": "count"}}},
+        {"id": "c", "deps": ["a"], "kind": "bridge"},
+    ]
+    job = spec.with_frees(spec.load({"nodes": nodes}))
+    assert [(n.id, n.deps) for n in job.nodes[3:]] == [("free:a", ("b", "c"))]
+    done = compiler.run(spark, job)
+    assert "a" not in done.data and done.data["b"].first().n == 2

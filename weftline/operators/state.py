@@ -12,20 +12,25 @@ def totals(deltas: DataFrame, name: str = "name", delta: str = "delta") -> DataF
     return deltas.groupBy(name).agg(F.sum(delta).alias("total"))
 
 
-def fetch_add(deltas: DataFrame, name: str = "name", delta: str = "delta", order: str = "seq") -> DataFrame:
-    """`deltas` with the value that each addition found (`old_value`), in `order` within a name.
-
-    Sums are taken in ranges of `order` first, so that a name of very many additions is spread over as many tasks as
-    there are ranges; only its ranges' sums meet.
-    """
+def _in_ranges(rows: DataFrame, name: str, order: str, total: Column, running: Column, down: bool = False) -> DataFrame:
+    """`rows` with _before: the sum of `total` over a name's ranges of `order` in front of a row's own (behind it, if `down`) and
+    of `running` over the rows in front of it within the range. A name of very many rows is spread over as many tasks as
+    there are ranges; only its ranges' sums meet."""
     from weftline.operators.routing import ranges
 
-    placed = deltas.withColumn("_range", ranges(deltas, order))
-    sums = placed.groupBy(name, "_range").agg(F.sum(delta).alias("_sum"))
-    front = sums.select(F.col(name).alias("_name"), F.col("_range").alias("_of"), (F.sum("_sum").over(W.partitionBy(name).orderBy("_range")) - F.col("_sum")).alias("_front"))
-    inside = W.partitionBy(name, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    own = placed.withColumn("_own", F.coalesce(F.sum(delta).over(inside), F.lit(0)))
-    return own.join(front, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_range") == F.col("_of"))).withColumn("old_value", F.col("_front") + F.col("_own")).drop("_name", "_of", "_front", "_own", "_range")
+    by = F.desc if down else F.asc
+    placed = rows.withColumn("_range", ranges(rows, order))
+    sums = placed.groupBy(name, "_range").agg(total.alias("_sum"))
+    front = sums.select(F.col(name).alias("_name"), F.col("_range").alias("_of"), (F.sum("_sum").over(W.partitionBy(name).orderBy(by("_range"))) - F.col("_sum")).alias("_front"))
+    inside = W.partitionBy(name, "_range").orderBy(by(order)).rowsBetween(W.unboundedPreceding, -1)
+    own = placed.withColumn("_own", F.coalesce(running.over(inside), F.lit(0)))
+    joined = own.join(front, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_range") == F.col("_of")))
+    return joined.withColumn("_before", F.col("_front") + F.col("_own")).drop("_name", "_of", "_front", "_own", "_range")
+
+
+def fetch_add(deltas: DataFrame, name: str = "name", delta: str = "delta", order: str = "seq") -> DataFrame:
+    """`deltas` with the value that each addition found (`old_value`), in `order` within a name; ties in any order."""
+    return _in_ranges(deltas, name, order, F.coalesce(F.sum(delta), F.lit(0)), F.sum(delta)).withColumnRenamed("_before", "old_value")
 
 
 def compare_and_swap(attempts: DataFrame, initial: int = 0, name: str = "name", order: str = "seq") -> DataFrame:
@@ -41,7 +46,7 @@ def compare_and_swap(attempts: DataFrame, initial: int = 0, name: str = "name",
 
 def newest_first(writes: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
     """All writes of a name, numbered from the newest."""
-    return writes.withColumn("age", F.row_number().over(W.partitionBy(name).orderBy(F.desc(seq))))
+    return _in_ranges(writes, name, seq, F.count("*"), F.count(F.lit(1)), down=True).withColumn("age", (F.col("_before") + 1).cast("int")).drop("_before")
 
 
 POLICIES = ("max_id", "min_id", "last_write", "largest", "majority")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 MOST_BARRIERS = 64
 
@@ -24,7 +24,7 @@ JOB_FIELDS = {
 #: parameters of a node that any kind may have; those of the second line name what Spark's own layers do here
 COMMON = {
     "inputs", "output", "fanout", "cache", "upstream", "downstream",
-    "slot", "placement", "split", "out_weight", "prefetch", "replicate", "_comment",
+    "slot", "placement", "host", "split", "out_weight", "prefetch", "replicate", "_comment",
 }
 PARAMS = {
     "input": {"path", "paths", "format", "binary", "cycle", "options", "schema", "chunk_bytes", "slice"},
@@ -134,5 +134,13 @@ def waves(job: Job) -> list[list[Node]]:
     return out
 
 
+def with_frees(job: Job) -> Job:
+    """`job` with a node `free:<id>` for each dataset that fans out (`fanout`) to several nodes: it is released when the last
+    of them has run."""
+    fed = {n.id: tuple(c.id for c in job.nodes if n.id in c.deps) for n in job.nodes if n.params.get("fanout")}
+    more = tuple(Node(f"free:{i}", "free", {"inputs": [i]}, users) for i, users in fed.items() if len(users) > 1)
+    return replace(job, nodes=job.nodes + more)
+
+
 def order(job: Job) -> list[Node]:
     return [n for wave in waves(job) for n in wave]

@@ -99,6 +99,16 @@ def _inline(spark, d):
     return files.inline(spark, [f"item{i}" for i in range(40)])
 
 
+_MARKET = ", ".join(f"('{k}', {c}, {m} * 1000000)" for k, (c, m) in files.MARKET.items())
+query("market_prices", f"SELECT symbol, CAST(avg_cents AS BIGINT) AS avg_cents, CAST(avg_vol AS BIGINT) AS avg_vol FROM (VALUES {_MARKET}) AS t(symbol, avg_cents, avg_vol)")(lambda spark, d: files.market(spark))
+
+
+@query("route_labelled", "SELECT CAST(o AS BIGINT) AS origin, count(*) AS n, CAST(sum(strlen(p)) AS BIGINT) AS bytes FROM (SELECT 5 AS o, 'StreamPayload_P5_seq' || CAST(i AS VARCHAR) AS p FROM (SELECT unnest(range(0, 3)) AS i) UNION ALL SELECT 7, 'p=7,s=' || lpad(CAST(i AS VARCHAR), 4, '0') || ',DATA_BLOCK_' || lpad(CAST(i AS VARCHAR), 4, '0') || '_' || repeat('X', 27) FROM (SELECT unnest(range(0, 150)) AS i)) GROUP BY o")
+def _labelled(spark, d):
+    rows = routing.aggregate([files.labelled(spark, 5), files.labelled(spark, 7, heavy=True)])
+    return rows.groupBy("origin").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).cast("bigint").alias("bytes"))
+
+
 # --- sinks
 
 

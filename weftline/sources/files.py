@@ -98,3 +98,23 @@ def rounds(spark: SparkSession, n_rounds: int, sizes: Sequence[int] = (20,)) ->
 def seeds(spark: SparkSession, prefix: str, n: int) -> DataFrame:
     """(key, stored): prefix and number for each key below n."""
     return spark.range(n).select(F.col("id").alias("key"), F.concat(F.lit(prefix), F.col("id").cast("string")).alias("stored"))
+
+
+#: symbols of the audit's built-in market, with the mean price in cents and the mean volume in millions of shares
+MARKET = {
+    "AAPL": (17500, 80), "AMD": (16000, 50), "AMZN": (18000, 50), "BAC": (3500, 45), "CRM": (30000, 5), "DIS": (11000, 12), "GOOG": (14000, 25),
+    "GS": (40000, 3), "INTC": (4500, 30), "JPM": (19500, 10), "MA": (45000, 4), "META": (50000, 15), "MS": (9000, 10), "MSFT": (37000, 22),
+    "NFLX": (60000, 5), "NVDA": (80000, 40), "ORCL": (12500, 8), "TSLA": (25000, 100), "V": (28000, 7), "WFC": (5500, 20),
+}
+
+
+def market(spark: SparkSession) -> DataFrame:
+    """(symbol, avg_cents, avg_vol) of the built-in market: what trades are judged by where no prices are given."""
+    return spark.createDataFrame([(s, cents, millions * 1_000_000) for s, (cents, millions) in MARKET.items()], "symbol string, avg_cents bigint, avg_vol bigint")
+
+
+def labelled(spark: SparkSession, branch: int, heavy: bool = False) -> DataFrame:
+    """(origin, seq, payload): the records a branch of a routing test makes, three short ones or 150 of about seventy bytes."""
+    seq = F.lpad(F.col("id").cast("string"), 4, "0")
+    text = F.concat(F.lit(f"p={branch},s="), seq, F.lit(",DATA_BLOCK_"), seq, F.lit("_" + "X" * 27)) if heavy else F.concat(F.lit(f"StreamPayload_P{branch}_seq"), F.col("id").cast("string"))
+    return spark.range(150 if heavy else 3).select(F.lit(branch).cast("bigint").alias("origin"), F.col("id").alias("seq"), text.alias("payload"))

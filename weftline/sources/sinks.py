@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -27,23 +25,25 @@ def write_cycled(df: DataFrame, paths: Sequence[str], run: int, **kw) -> int:
     return write_lines(df, cycled(paths, run), **kw)
 
 
-def _save(path: str, payload) -> None:
-    target = urlparse(path).path if path.startswith("file:") else path
-    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-    with open(target, "wb") as f:
-        f.write(payload.encode() if isinstance(payload, str) else bytes(payload or b""))
+def _save(spark, path: str, payload) -> None:
+    """One file, on whatever storage its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(payload.encode() if isinstance(payload, str) else payload or b""))
+    out.close()
 
 
 def write_split(df: DataFrame, paths: Sequence[str], index: str = "seq", payload: str = "payload") -> None:
     """Record i, verbatim, into paths[i mod n]; the last record of a path wins. At least two paths.
 
-    Executors write the files: `paths` must lie on storage they all see.
+    What is left is a record for each path, which the driver writes one by one.
     """
     if len(paths) < 2:
         raise ValueError("split records need at least two paths")
-    n, where = len(paths), list(paths)
+    n = len(paths)
     last = df.groupBy(F.pmod(F.col(index), F.lit(n)).cast("int").alias("place")).agg(F.max_by(payload, index).alias("payload"))
-    last.foreachPartition(lambda rows: [_save(where[r.place], r.payload) for r in rows] and None)
+    for r in last.toLocalIterator():
+        _save(df.sparkSession, paths[r.place], r.payload)
 
 
 def snapshot(df: DataFrame, folder: str, name: str) -> DataFrame:
