@@ -21,6 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: ASCII but ' and <, and Latin-1 letters: nothing that composes, contracts or is a special token.
 PLAIN = re.compile(r"[\x00-&(-;=-\x7fÀ-ÖØ-öø-ÿ]*")
+SIGNS = frozenset(bytes([b]) for b in b".,;:!?)")
 RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
@@ -34,8 +35,10 @@ def tokenizer_path(path: str | None) -> str:
 
 def runs_of(chunk: bytes) -> list[str] | None:
     """The pre-tokens of a plain chunk, lowered; None for any other chunk."""
-    if chunk.isalpha() and chunk.islower():  # of bytes: ASCII letters
-        return [chunk.decode()]
+    if chunk.isalpha():  # of bytes: ASCII letters
+        return [chunk.lower().decode()]
+    if chunk[-1:] in SIGNS and chunk[:-1].isalpha():  # and a sign after them, as many have
+        return [chunk[:-1].lower().decode(), chunk[-1:].decode()]
     text = chunk.decode()
     return RUNS.findall(text.lower()) if PLAIN.fullmatch(text) else None
 
