@@ -85,6 +85,60 @@ def test_contexts_beyond_8_tokens_are_rounded_down_to_a_known_length(spark, monk
     compare(spark, rows, brute(rows, allowed=some.__contains__))
 
 
+def exact(rows, prior=5.0):
+    """As `brute` without a limit, for long texts: a context has the number of (the shorter one's number, one more token)."""
+    docs = [(d, zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0, words(t) + [None]) for d, t in rows]
+    c = Counter(x for _, held, w in docs if not held for x in w)
+    n, v = sum(c.values()), len(c)
+    number, grams, nexts = {}, Counter(), Counter()
+    contexts = []
+    for _, held, w in docs:
+        own = []
+        for i in range(len(w)):
+            at, all_ = 0, []
+            for k in range(1, i + 1):
+                at = number.setdefault((at, w[i - k]), len(number) + 1)
+                all_.append(at)
+            own.append(all_)
+            if not held:
+                grams.update(all_)
+                nexts.update((x, w[i]) for x in all_)
+        contexts.append(own)
+    out = []
+    for (d, held, w), own in zip(docs, contexts):
+        base = score = 0.0
+        for i, x in enumerate(w):
+            p = (c[x] + 0.1) / (n + 0.1 * (v + 1))
+            base += math.log10(p)
+            one = 0 if held else 1
+            at = next((g for g in reversed(own[i]) if grams[g] > one), None)
+            if at is not None:
+                p = (nexts[at, x] - one + prior * p) / (grams[at] - one + prior)
+            score += math.log10(p)
+        out.append((str(d), held, len(w), sum(c[x] > 0 for x in w), n, base, score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [lm.CHUNK, 4000])
+def test_the_longest_match_is_found_to_the_token(spark, monkeypatch, chunk):
+    """Matches of any length, between the rungs too: copies with different beginnings and ends, repeated lines, runs of a word."""
+    monkeypatch.setattr(lm, "SHARD", 2000)
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    rows = mixture(60)
+    assert [w[:5] for w in brute(rows)] == [w[:5] for w in exact(rows)] and np.allclose([w[6] for w in brute(rows)], [w[6] for w in exact(rows)])
+    rng = random.Random(5)
+    long = rng.choices([f"z{i}" for i in range(50)], k=420)
+    for i in range(14):
+        start, stop = (0, 420) if i < 3 else (rng.randrange(200), 420 - rng.randrange(200))
+        rows.append((1000 + i, " ".join(["new"] * rng.randrange(3) + [f"x{i % 4}"] + long[start:stop] + [f"y{i % 5}"])))
+    held = [d for d in range(3000, 3200) if zlib.crc32(str(d).encode()) % 10 == 0][:3]
+    learnt = [d for d in range(3000, 3200) if zlib.crc32(str(d).encode()) % 10 != 0][:4]
+    tail = [f"t{i}" for i in range(360)]  # few that match, with beginnings between two rungs
+    rows += [(d, " ".join(tail[-k:] + ["end"])) for d, k in zip(learnt + held, (300, 320, 270, 290, 310, 345, 280))]
+    rows += [(2000 + i, "a line that comes again and " * (20 + i)) for i in range(4)] + [(2010 + i, "run " * (90 + 13 * i)) for i in range(4)]
+    compare(spark, rows, exact(rows))
+
+
 def test_a_text_that_occurs_twice_scores_above_one_that_does_not(spark):
     rng = random.Random(8)
     text = lambda: " ".join(rng.choices([f"v{i}" for i in range(2000)], k=80))
