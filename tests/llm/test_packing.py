@@ -74,3 +74,16 @@ def test_pack_whole_and_gapless(spark):
         assert at <= 64
     assert len(bins) == best_fit_decreasing([w[3] for w in want], 64)
     assert packing.pack(docs.where("false")).count() == 0
+
+
+def test_values_look_up_chunks_without_going_through_all_that_are_remembered():
+    class Memo(chunks.ChunkMemo):
+        def __iter__(self):
+            raise AssertionError("went through all remembered chunks")
+
+    enc = chunks.LibraryEncoder(None)
+    memo = Memo(enc, enc.run_bytes, lambda ids: ids.tobytes(), b"".join, 3)
+    texts = ["The end of the end, the END. it's 42 <|endoftext|> é日本", "", "of the a1b2!? the", "x y z", "the x of"]
+    for t in texts:  # more chunks than the memo's limit: it forgets in between
+        ids = enc.tok.encode(t, add_special_tokens=False).ids
+        assert b"".join(memo.values(t.encode().split())) == np.array(ids, dtype="<u4").tobytes()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from weftline.llm import chunks
 from weftline.llm.common import text_pieces, written
 
+#: bytes of text that are looked up at once: their chunks and values stay in the processor's caches
+PART = 100_000
 PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -120,12 +123,12 @@ def cut(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str |
         step = 4 * capacity
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for a, texts in text_pieces(batch.column(1)):
+            for a, texts in text_pieces(batch.column(1), PART):
                 words = [(t or b"").split() for t in texts]
-                memo.learn(words)
-                get = memo.__getitem__
-                for i, ws in enumerate(words, a):
-                    ids = b"".join(map(get, ws)) + end
+                stops = list(accumulate(map(len, words)))
+                parts = memo.values(list(chain.from_iterable(words)))
+                for i, (at, stop) in enumerate(zip([0, *stops], stops), a):
+                    ids = b"".join(parts[at:stop]) + end
                     for k, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step] if len(ids) > step else ids
                         row.append(i)
