@@ -76,6 +76,13 @@ def test_every_row_is_searched_at_every_length(spark, monkeypatch, shard):
     assert all(r.score == 0 for r in lm.score(docs.where("doc_id = 20")).collect() if r.held_out and not r.train_tokens)
 
 
+def test_a_shard_holds_no_more_bytes_in_later_rounds():
+    """Keys of 64 bits, tokens of 32; on the ladder a key, six rungs, and the place between two of them, all of 64 bits."""
+    rows = [12, 4 * (3 + 5), 8 + 4 * 8, 8 + 4 * 16, 8 * (1 + 6 + 2), 8 * (1 + 6 + 2)]
+    for k, size in enumerate(rows):
+        assert 20_000_000 * size / lm.shards_of(20_000_000, k) <= 32 * lm.SHARD
+
+
 def test_contexts_beyond_8_tokens_are_rounded_down_to_a_known_length(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD", 2000)
     monkeypatch.setattr(lm, "CHUNK", 4000)
