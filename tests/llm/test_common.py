@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import pyarrow as pa
 import pytest
@@ -17,6 +19,25 @@ def test_written_reads_back_and_pieces_cover(spark):
     assert list(pieces([b"a" * 99], 4)) == [(0, 1)] and list(pieces([], 4)) == []
 
 
+def test_a_new_holder_gets_the_memory_that_the_one_before_freed():
+    """In a process of its own: freed blocks below one that stays are not returned by themselves."""
+    run = """
+import re
+from weftline.llm.common import claim
+held = lambda: int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+claim("a", lambda: None)
+blocks = [bytearray(b"x" * 100_000) for _ in range(2000)]
+before, last = held(), blocks.pop()
+blocks.clear()
+claim("a", lambda: None)
+kept = held()
+claim("b", lambda: None)
+print(before - kept, before - held())
+"""
+    kept, freed = map(int, subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, check=True).stdout.split())
+    assert kept < 100 < 150 < freed
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_spread_join_is_a_join(spark, how):
     left = written(spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 30 > 0, F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("key"), "id"), "left")
