@@ -5,9 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import language_model as lm
+from weftline.llm.ngram_join import word_hashes
 
 
 def words(t):
@@ -83,6 +85,36 @@ def test_a_shard_holds_no_more_bytes_in_later_rounds():
         assert 20_000_000 * size / lm.shards_of(20_000_000, k) <= 32 * lm.SHARD
 
 
+def test_a_chunk_hashes_each_of_its_words_once(monkeypatch):
+    rnd = random.Random(5)
+    signs = b" \t\n\r\x0b\x0c\x1c\x1f\x00\x85\xa0\xc2\xffAZaz"
+    texts = [b"", None, b" \n", b" The the\tTHE ", b"a", "\u00c4 \u3000x\u0130".encode()] + [bytes(rnd.choices(signs, k=rnd.randrange(30))) for _ in range(500)]
+    hashed = []
+    monkeypatch.setattr(lm, "word_hashes", lambda words: hashed.extend(words) or word_hashes(words))
+    for part in (texts, texts[:3], texts[3:4]):
+        expected = [[*(t or b"").lower().split(), lm.END] for t in part]
+        hashed.clear()
+        cuts = range(0, len(part), 100)
+        split = [lm.split_words(pa.array(part, pa.binary()).slice(k, 100)) for k in cuts]
+        hashes, tokens = lm.numbered_words([w for w, _ in split], np.concatenate([n for _, n in split]))
+        assert np.array_equal(hashes[tokens], word_hashes(sum(expected, [])))
+        assert np.concatenate([n + 1 for _, n in split]).tolist() == [len(w) for w in expected]
+        assert sorted(hashed) == sorted(set(sum(expected, [])))
+
+
+def test_rows_with_equal_first_columns_lie_together():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        n = (1, 3, 60, 2000)[seed % 4]
+        columns = [rng.integers(0, 3, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if k else rng.integers(0, 5, n).astype(np.uint32) for k in rng.integers(0, 2, 5)]
+        order = lm.grouping(list(columns))
+        assert np.array_equal(np.sort(order), np.arange(n))
+        rows = list(zip(*[x[order].tolist() for x in columns]))
+        for k in range(1, 6):
+            runs = [r[:k] for i, r in enumerate(rows) if not i or rows[i - 1][:k] != r[:k]]
+            assert len(runs) == len(set(runs))
+
+
 def test_contexts_beyond_8_tokens_are_rounded_down_to_a_known_length(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD", 2000)
     monkeypatch.setattr(lm, "CHUNK", 4000)
