@@ -120,6 +120,22 @@ def test_cycled_runs_split_records_and_snapshots(spark, tmp_path):
     assert lines(str(tmp_path / "w"))[0] == "[  0][src=7] a"
 
 
+def test_a_dump_is_numbered_in_ranges(spark, tmp_path):
+    n, many, kept = 4000, str(tmp_path / "many"), spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.range(0, n, 1, 3).selectExpr(f"{n} - id AS seq", "id % 4 AS origin", "concat('r', id) AS payload")
+    sinks.watch(df, many)
+    assert lines(many) == [f"[{i:3d}][src={(n - 1 - i) % 4}] r{n - 1 - i}" for i in range(n)]
+    sizes = [len(open(os.path.join(many, x)).read().splitlines()) for x in os.listdir(many) if x.startswith("part")]
+    assert sum(sizes) == n and max(sizes) < n / 2  # no task had them all
+    sinks.watch(df.selectExpr(f"if(seq = 1, null, lpad({n} - seq, 4, '0')) AS name", "7 AS o", "payload AS p"), str(tmp_path / "names"), "name", "o", "p")
+    found = lines(str(tmp_path / "names"))
+    assert found[:2] + found[-2:] == ["[  0][src=7] r0", "[  1][src=7] r1", f"[{n - 2}][src=7] r{n - 2}", f"[{n - 1}][src=7] r{n - 1}"]
+    sinks.watch(df.selectExpr("if(seq = 1, null, seq) AS seq", "origin", "payload"), str(tmp_path / "last"))  # no place: last, as in the SQL
+    assert lines(str(tmp_path / "last"))[-1] == f"[{n - 1}][src={(n - 1) % 4}] r{n - 1}"
+    sinks.watch(df.where("seq < 0"), str(tmp_path / "none"))
+    assert lines(str(tmp_path / "none")) == [] and spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
 def test_typed_scans(spark, tmp_path):
     (tmp_path / "t.csv").write_text("trade_id,symbol,price,quantity,side,time,account\n1,A,175.559,100,BUY,10:30,ACC007\n2,B,x,5,SELL,2024-01-01T16:01:00,ACC1\n3,short\n")
     from weftline.operators import audit

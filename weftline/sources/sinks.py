@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -85,12 +86,23 @@ def split_lines(lines: DataFrame, n: int, prefix: str, order: str = "seq") -> li
 
 
 def watch(df: DataFrame, path: str, order: str = "seq", origin: str = "origin", payload: str = "payload") -> None:
-    """A readable dump: `[  i][src=o] record` for each record in order."""
-    from pyspark.sql import Window as W
+    """A readable dump: `[  i][src=o] record` for each record in order, those without a place in it last; ties stay open.
 
-    i = F.row_number().over(W.orderBy(order)) - 1  # a debugging aid for small slots: one partition
-    line = F.concat(F.lit("["), F.when(i < 1000, F.lpad(i.cast("string"), 3, " ")).otherwise(i.cast("string")), F.lit("][src="), F.col(origin).cast("string"), F.lit("] "), F.col(payload).cast("string"))
-    write_lines(df.select(F.col(order), line.alias("value")), path, order=(order,))
+    Records are sorted in ranges and kept on the executors' disks until they are written. Of each range only its count and first id
+    go to the driver, so no window spans the whole table. A record or origin that is null takes a number and leaves an empty line.
+    """
+    text = F.concat(F.lit("][src="), F.col(origin).cast("string"), F.lit("] "), F.col(payload).cast("string"))
+    rows = df.orderBy(F.col(order).asc_nulls_last()).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), text.alias("text")).persist(StorageLevel.DISK_ONLY)
+    # ids grow by one within a range: less its first id, and with all records in front of it, they are the numbers
+    found = {r.part: r for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first_id")).collect()}
+    shifts, front = [0] * (max(found, default=0) + 1), 0
+    for part, r in sorted(found.items()):
+        shifts[part] = front - r.first_id
+        front += r.n
+    i = F.col("at") + F.get(F.array(*[F.lit(x) for x in shifts]), F.col("part"))
+    line = F.concat(F.lit("["), F.when(i < 1000, F.lpad(i.cast("string"), 3, " ")).otherwise(i.cast("string")), F.col("text"))
+    write_lines(rows.select(line.alias("value")), path)  # a file for each range, in their order
+    rows.unpersist()
 
 
 def pgm(df: DataFrame, payload: str = "pixels") -> DataFrame:
